@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.session import Scratch
@@ -70,32 +70,31 @@ def brand_connected_ids(messages: DataFrame, brand: str, id_col: str = "tweet_id
 def thread_roots(messages: DataFrame, id_col: str = "tweet_id", parent_col: str = "in_response_to_tweet_id") -> DataFrame:
     """(id, thread_id) by pointer doubling; a parent that is no row makes its child a root, a cycle's root is its least member.
 
-    Every round joins the pointers to themselves, so depth n takes log2(n) rounds. Rows whose pointer has reached a root
-    leave the loop; when a round resolves nothing, the rest leads into cycles and doubling runs on them until each
+    Every round joins the pointers to themselves, so depth n takes log2(n) rounds, until every pointer stands on a root. A round
+    that brings no further row to its root proves that the rest leads into cycles; from then on only the rest is doubled, until each
     pointer has passed its whole cycle.
     """
-    spark = messages.sparkSession
-    scratch = Scratch(spark, "roots")
+    scratch = Scratch(messages.sparkSession, "roots")
     ids = messages.select(F.col(id_col).alias("id"), F.col(parent_col).alias("p"))
-    have = ids.select(F.col("id").alias("p"), F.lit(True).alias("known"))
-    start = ids.join(have, "p", "left").select("id", F.when(F.col("known"), F.col("p")).otherwise(F.col("id")).alias("nxt"), F.col("id").alias("mn"))
-    cur = scratch.table(start, "0")
-    n, rounds, todo = cur.count(), 0, None
-    while 2**rounds <= n:
-        step = cur.select(F.col("id").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("mn").alias("mn2"))
-        joined = cur.join(step, "nxt")
-        # the least of the hops passed so far, the start itself left out: after full doubling it covers the cycle only
-        cur = scratch.table(joined.select("id", F.col("nxt2").alias("nxt"), F.least("mn", "mn2").alias("mn")), str(rounds + 1))
-        scratch.drop(str(rounds))
-        rounds += 1
-        left = cur.alias("a").join(cur.alias("b"), F.col("a.nxt") == F.col("b.id")).where("b.nxt <> b.id").count()
+    have = ids.select(F.col("id").alias("p"), F.lit(True).alias("known")).distinct()
+    nxt = F.when(F.col("known"), F.col("p")).otherwise(F.col("id"))
+    cur = ids.join(have, "p", "left").select("id", nxt.alias("nxt"), F.col("id").alias("mn"), (nxt == F.col("id")).alias("ok"))
+    cur, rounds, before, done = scratch.table(cur, "0"), 0, None, None
+    while True:
+        # where each pointer's own pointer leads, whether that is a root, and the least id from there on
+        end = cur.select(F.col("id").alias("nxt"), F.col("nxt").alias("end"), F.col("mn").alias("end_mn"), F.col("ok").alias("end_ok"))
+        met = cur.join(end, "nxt")
+        left = met.where("NOT end_ok").count()
         if left == 0:
-            break
-        todo = left
-    end = cur.select(F.col("id").alias("nxt"), F.col("nxt").alias("end"), F.col("mn").alias("end_mn"))
-    # a root points to itself; in a cycle nxt lies on the cycle and its minimum covers the cycle
-    return cur.join(end, "nxt").select("id", F.when(F.col("end") == F.col("nxt"), F.col("nxt")).otherwise(F.col("end_mn")).alias("thread_id"))
-
-
-def row_numbered(df: DataFrame, partition: list[str], order: list, name: str = "rn") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+            found = met.select("id", F.col("end").alias("thread_id"))
+            return found if done is None else done.unionByName(found)
+        if done is None and left == before:
+            done = met.where("end_ok").select("id", F.col("end").alias("thread_id"))
+            cur = scratch.table(met.where("NOT end_ok").select("id", "nxt", "mn", "ok"), "cyclic")
+            continue
+        if done is not None and 2**rounds >= left:
+            # nxt lies on the cycle, and the least of the hops from there covers the cycle
+            return done.unionByName(met.select("id", F.col("end_mn").alias("thread_id")))
+        before = left
+        cur = scratch.table(met.select("id", F.col("end").alias("nxt"), F.least("mn", "end_mn").alias("mn"), (F.col("ok") | F.col("end_ok")).alias("ok")), str(rounds + 1))
+        rounds += 1

@@ -1,4 +1,333 @@
-"""Named queries over the driver's tables and their SQL."""
+"""Named queries over the driver's tables and the same in SQL.
 
-QUERIES = {}
-ORACLE = {}
+The message log is derived from ``conversations``: ids by conversation and turn, each turn replying to the one before, assistants as the brand.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadlake.functions import text as T
+from threadlake.functions.parsing import parse_label
+from threadlake.functions.vectors import l2_normalize
+from threadlake.operators import budget, clustering, graph, records, sampling, taxonomy, threads
+from threadlake.session import table
+
+BRAND = "brand"
+SEED = 20260909
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+PATTERNS = {"question": r"\?", "shouting": r"!!", "license": r"licen[sc]ed?", "url": r"https?://|www\.", "digits": r"\d{5,}"}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    tid = F.col("conv_id") * 1000 + F.col("turn")
+    return c.select(
+        tid.alias("tweet_id"), F.when(F.col("role") == "assistant", F.lit(BRAND)).otherwise(F.concat(F.lit("u"), F.col("conv_id").cast("string"))).alias("author_id"),
+        (F.col("role") == "user").alias("inbound"), F.timestamp_micros((F.lit(1704067200) + (F.col("conv_id") * 60 + F.col("turn")) * 60) * 1000000).alias("created_at"),
+        "text", F.when(F.col("turn") > 0, tid - 1).alias("in_response_to_tweet_id"), F.col("conv_id").alias("thread_id"), F.col("text").alias("text_scrubbed"),
+    )
+
+
+MSG = """m AS (SELECT conv_id*1000+turn AS tweet_id, CASE WHEN role='assistant' THEN 'brand' ELSE 'u' || conv_id END AS author_id, role='user' AS inbound,
+ 1704067200 + (conv_id*60+turn)*60 AS ts, text, CASE WHEN turn>0 THEN conv_id*1000+turn-1 END AS parent, conv_id AS thread_id FROM conversations)"""
+FIRST = "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY ts, tweet_id) AS rn FROM m WHERE inbound) WHERE rn=1)"
+REPLY = "r AS (SELECT thread_id, text AS reply FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY ts, tweet_id) AS rn FROM m WHERE author_id='brand') WHERE rn=1)"
+SPLIT = "cut AS (SELECT quantile_cont(ts * 1000000, 0.7) AS cut FROM m), s AS (SELECT m.*, ts * 1000000 <= cut AS train FROM m, cut)"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = messages(spark, sf_dir).withColumn("text_scrubbed", T.scrub(F.col("text"), (BRAND,)))
+    return threads.attach_reference_replies(threads.first_turns(m), m, BRAND).select("thread_id", "tweet_id", "text_scrubbed", "reference_reply")
+
+
+@query(f"WITH {MSG}, {FIRST} SELECT thread_id, tweet_id, text FROM f")
+def first_turn_per_thread(spark, sf_dir):
+    return threads.first_turns(messages(spark, sf_dir)).select("thread_id", "tweet_id", "text")
+
+
+@query(f"WITH {MSG}, {FIRST}, {REPLY} SELECT f.thread_id, f.tweet_id, r.reply AS reference_reply FROM f LEFT JOIN r USING (thread_id)")
+def reference_reply(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    return threads.attach_reference_replies(threads.first_turns(m), m, BRAND).select("thread_id", "tweet_id", "reference_reply")
+
+
+# every seventh conversation's turn 2 cites a missing message that the next conversation's turn 1 cites too, so that components cross threads
+_BROKEN = "CASE WHEN conv_id % 7 = 0 AND turn = 2 THEN -(conv_id + 1) WHEN conv_id % 7 = 1 AND turn = 1 THEN -conv_id WHEN turn > 0 THEN conv_id*1000+turn-1 END"
+
+
+def _broken(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return messages(spark, sf_dir).drop("in_response_to_tweet_id").join(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("tweet_id"), F.expr(_BROKEN).alias("in_response_to_tweet_id")), "tweet_id")
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT conv_id*1000+turn AS id, {_BROKEN} AS p, role='assistant' AS own FROM conversations),
+e AS (SELECT id AS a, p AS b FROM n WHERE p IS NOT NULL UNION SELECT p, id FROM n WHERE p IS NOT NULL UNION SELECT id, id FROM n),
+w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a),
+c AS (SELECT a AS id, min(b) AS component FROM w GROUP BY a)
+SELECT id, component FROM c WHERE component IN (SELECT c.component FROM c JOIN n USING (id) WHERE n.own)""")
+def brand_components(spark, sf_dir):
+    return graph.brand_connected_ids(_broken(spark, sf_dir), BRAND)
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT conv_id*1000+turn AS id, {_BROKEN} AS p FROM conversations),
+u AS (SELECT n.id, CASE WHEN k.id IS NOT NULL THEN n.p END AS p FROM n LEFT JOIN n k ON n.p = k.id),
+w(id, spot, up) AS (SELECT id, id, p FROM u UNION ALL SELECT w.id, u.id, u.p FROM w JOIN u ON w.up = u.id)
+SELECT id, spot AS thread_id FROM w WHERE up IS NULL""")
+def thread_roots(spark, sf_dir):
+    return graph.thread_roots(_broken(spark, sf_dir))
+
+
+# turns of every fifth conversation all belong to the brand and carry part marks but for the last
+_PARTS = "CASE WHEN conv_id % 5 = 0 THEN text || ' (' || (turn + 1) || '/9)' ELSE text END"
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT conv_id*1000+turn AS id, CASE WHEN conv_id % 5 = 0 OR role='assistant' THEN 'brand' ELSE 'u' END AS author, conv_id*60+turn AS ts,
+ {_PARTS} AS text, CASE WHEN turn>0 THEN conv_id*1000+turn-1 END AS p FROM conversations),
+link AS (SELECT cid, pid FROM (SELECT c.id AS cid, q.id AS pid, row_number() OVER (PARTITION BY q.id ORDER BY c.ts, c.id) AS rn FROM m c JOIN m q ON c.p=q.id
+  WHERE c.author='brand' AND q.author='brand' AND regexp_matches(q.text, '\\s*\\(\\d+/\\d+\\)\\s*$')) WHERE rn=1),
+ch(tail, cur, k) AS (SELECT id, id, 0 FROM m WHERE id NOT IN (SELECT pid FROM link) UNION ALL SELECT ch.tail, l.pid, ch.k+1 FROM ch JOIN link l ON ch.cur=l.cid)
+SELECT ch.tail AS tweet_id, coalesce((array_agg(m.p ORDER BY k DESC))[1], -1) AS parent, CASE WHEN max(k) = 0 THEN max(m.text) ELSE trim(string_agg(CASE WHEN k>0 THEN regexp_replace(m.text, '\\s*\\(\\d+/\\d+\\)\\s*$', '') ELSE m.text END, ' ' ORDER BY -k)) END AS text
+FROM ch JOIN m ON m.id=ch.cur GROUP BY ch.tail""")
+def multipart_merge(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("tweet_id"), F.expr(_PARTS).alias("marked"), F.expr("conv_id % 5 = 0").alias("own"))
+    m = messages(spark, sf_dir).join(c, "tweet_id").withColumn("text", F.col("marked")).withColumn("author_id", F.when(F.col("own"), F.lit(BRAND)).otherwise(F.col("author_id"))).drop("marked", "own")
+    return threads.merge_parts(m, BRAND).select("tweet_id", F.coalesce("in_response_to_tweet_id", F.lit(-1)).alias("parent"), "text")
+
+
+@query("WITH e AS (SELECT event_id, epoch_us(ts) AS us FROM events), c AS (SELECT quantile_cont(us, 0.7) AS cut FROM e) SELECT event_id, us <= cut AS in_training_window FROM e, c")
+def time_split_events(spark, sf_dir):
+    return threads.assign_time_split(table(spark, sf_dir, "events"), 0.7, "ts").select("event_id", "in_training_window")
+
+
+@query("WITH e AS (SELECT o_orderkey, epoch_us(o_orderdate) AS us FROM orders), c AS (SELECT quantile_cont(us, 0.7) AS cut FROM e) SELECT o_orderkey, us <= cut AS in_training_window FROM e, c")
+def time_split_orders(spark, sf_dir):
+    return threads.assign_time_split(table(spark, sf_dir, "orders"), 0.7, "o_orderdate").select("o_orderkey", "in_training_window")
+
+
+@query(f"WITH {MSG}, {SPLIT} SELECT thread_id, count(*) FILTER (WHERE train) AS n_train, count(*) FILTER (WHERE NOT train) AS n_eval FROM s GROUP BY thread_id HAVING n_train > 0 AND n_eval > 0")
+def straddling_threads(spark, sf_dir):
+    return threads.straddling_threads(threads.assign_time_split(messages(spark, sf_dir)))
+
+
+@query(f"WITH {MSG}, {SPLIT}, e AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY ts, tweet_id) AS rn FROM s WHERE inbound AND NOT train) SELECT thread_id, tweet_id FROM e WHERE rn = 1")
+def first_turn_eval_window(spark, sf_dir):
+    return threads.first_turns(threads.assign_time_split(messages(spark, sf_dir)), training=False).select("thread_id", "tweet_id")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def latest_event_per_user(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.struct("ts", "event_id").alias("seq"))
+    return records.latest_per_key(e, "user_id", "seq").select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def dedupe_keep_first(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("key", F.sha2("text", 256))
+    # minimum first, map-side, so that a text that many rows share is one row per task
+    first = d.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    return d.join(first.select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang", "source")
+
+
+_DIGIT_CODE = "|".join(["[0-9][A-Z0-9]{4,7}", *[f"[A-Z]{{{i}}}[0-9][A-Z0-9]{{{max(0, 4 - i)},{7 - i}}}" for i in range(1, 8)]])
+_GUARD = "zQz"  # makes letters beyond ASCII word characters to RE2 as well
+
+
+def _re2(e: str) -> str:
+    """The scrub chain in DuckDB's RE2, which has no lookahead and only ASCII word characters."""
+    e = f"regexp_replace({e}, '([^\\x00-\\x7F])', '{_GUARD}\\1{_GUARD}', 'g')"
+    e = f"regexp_replace({e}, '(?i)https?://\\S+|www\\.\\S+', '[URL]', 'g')"
+    e = f"regexp_replace({e}, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}', '[EMAIL]', 'g')"
+    e = f"regexp_replace({e}, '(?i)\\b(confirmation|booking|reservation|record locator|order)\\b(?:\\s*(?:number|no\\.?|#))?(?:\\s*(?:is|was|[:#=]))?\\s+(?:{_DIGIT_CODE})\\b', '\\1 [REF]', 'g')"
+    e = f"regexp_replace({e}, '\\b\\d{{6,}}\\b', '[REF]', 'g')"
+    e = f"regexp_replace({e}, '(?:\\+?\\d{{1,3}}[\\s.-]?)?(?:\\(\\d{{2,4}}\\)[\\s.-]?)?\\d{{3}}[\\s.-]?\\d{{3,4}}[\\s.-]?\\d{{0,4}}\\b', '[PHONE]', 'g')"
+    e = f"regexp_replace({e}, '(?i)@(brand)\\b', chr(1) || '\\1', 'g')"
+    e = f"replace(regexp_replace({e}, '@(?:[A-Za-z0-9_]|[^\\x00-\\x7F])+', '@customer', 'g'), chr(1), '@')"
+    return f"replace({e}, '{_GUARD}', '')"
+
+
+@query(f"SELECT doc_id, {_re2('text')} AS scrubbed FROM documents")
+def pii_scrub(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.scrub(F.col("text"), (BRAND,)).alias("scrubbed"))
+
+
+def _marks(e: str) -> str:
+    return ", ".join(f"CAST(sum((length(s) - length(replace(s, '{m}', ''))) // {len(m)}) AS BIGINT) AS {n}" for n, m in (("urls", "[URL]"), ("emails", "[EMAIL]"), ("refs", "[REF]"), ("phones", "[PHONE]")))
+
+
+@query(f"WITH d AS (SELECT lang, {_re2('text')} AS s FROM documents) SELECT lang, {_marks('s')} FROM d GROUP BY lang")
+def pii_counts_by_lang(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", T.scrub(F.col("text"), (BRAND,)).alias("s"))
+    count = lambda mark: F.sum(((F.length("s") - F.length(F.replace("s", F.lit(mark), F.lit("")))) / len(mark)).cast("long"))
+    return d.groupBy("lang").agg(count("[URL]").alias("urls"), count("[EMAIL]").alias("emails"), count("[REF]").alias("refs"), count("[PHONE]").alias("phones"))
+
+
+@query("WITH t AS (SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(lower(text), '{p}')) AS {n}" for n, p in PATTERNS.items()) + " FROM documents) " + " UNION ALL ".join(f"SELECT '{n}' AS bucket, {n} AS n, round({n} / total, 6) AS share FROM t" for n in PATTERNS))
+def keyword_prevalence(spark, sf_dir):
+    return taxonomy.prevalence(table(spark, sf_dir, "documents"), "text", PATTERNS)
+
+
+@query("SELECT doc_id, CAST(floor(length(text) / CAST(3.6 AS DOUBLE)) AS INTEGER) + 1 AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT conv_id, CAST(sum(CAST(floor(length(coalesce(text, '')) / CAST(3.6 AS DOUBLE)) AS INTEGER) + 5) AS INTEGER) AS tokens FROM conversations GROUP BY conv_id")
+def token_budget(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("messages"))
+    return c.select("conv_id", T.estimate_prompt_tokens(F.col("messages")).alias("tokens"))
+
+
+PROVIDERS = [("a", 30.0, 6000.0), ("b", 30.0, 30000.0), ("c", 60.0, 50000.0), ("d", 20.0, 100000.0)]
+
+
+@query("WITH t AS (SELECT count(*) AS calls, sum(CAST(floor(length(text) / CAST(3.6 AS DOUBLE)) AS INTEGER) + 1) AS tokens FROM documents), p(provider, rpm, tpm) AS (VALUES ('a', 30.0::DOUBLE, 6000.0::DOUBLE), ('b', 30, 30000), ('c', 60, 50000), ('d', 20, 100000)) SELECT provider, calls, CAST(tokens AS BIGINT) AS tokens, round(greatest(calls / rpm, tokens / tpm), 6) AS minutes FROM p, t")
+def provider_minutes(spark, sf_dir):
+    calls = table(spark, sf_dir, "documents").select(T.estimate_tokens(F.col("text")).alias("tokens"))
+    return budget.provider_minutes(calls, spark.createDataFrame(PROVIDERS, "provider string, rpm double, tpm double"))
+
+
+@query(f"SELECT doc_id, lang FROM documents ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT 100")
+def uniform_sample(spark, sf_dir):
+    return sampling.uniform(table(spark, sf_dir, "documents"), 100, SEED, "doc_id").select("doc_id", "lang")
+
+
+@query()
+def stratified_round_robin(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_scrubbed"))
+    return sampling.two_strata(d, 100, 100, SEED, "doc_id", patterns=PATTERNS).select("doc_id", "stratum", "sample_reason")
+
+
+_LOG = "SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' END AS label_intent, CASE WHEN quality = 1 THEN 'keep' END AS label_action, doc_id + quality AS seq FROM labels"
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    lab = table(spark, sf_dir, "labels")
+    return lab.select("doc_id", F.expr("CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' END").alias("label_intent"), F.expr("CASE WHEN quality = 1 THEN 'keep' END").alias("label_action"), (F.col("doc_id") + F.col("quality")).alias("seq"))
+
+
+@query(f"WITH l AS ({_LOG}) SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN l.label_intent ELSE d.lang END AS label_intent, CASE WHEN l.doc_id IS NOT NULL THEN l.label_action ELSE d.source END AS label_action FROM documents d LEFT JOIN l USING (doc_id)")
+def label_override_join(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label_intent"), F.col("source").alias("label_action"))
+    return records.override(d, records.latest_per_key(_log(spark, sf_dir), "doc_id", "seq").drop("seq"), "doc_id")
+
+
+@query(f"WITH l AS ({_LOG}) SELECT count(l.doc_id) AS done, count(*) AS total FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM l WHERE label_intent IS NOT NULL AND label_action IS NOT NULL) l USING (doc_id)")
+def label_progress(spark, sf_dir):
+    return records.progress(table(spark, sf_dir, "documents"), _log(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH l AS ({_LOG}) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l WHERE label_intent IS NOT NULL AND label_action IS NOT NULL)")
+def unlabelled(spark, sf_dir):
+    return records.unlabelled(table(spark, sf_dir, "documents"), _log(spark, sf_dir), "doc_id").select("doc_id")
+
+
+@query("SELECT label AS cluster, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM embeddings GROUP BY label")
+def cluster_sizes(spark, sf_dir):
+    return clustering.sizes(table(spark, sf_dir, "embeddings"), "label")
+
+
+_VEC = "e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), c AS (SELECT label AS cluster, pos, avg(x) AS m FROM e GROUP BY ALL)"
+_OWN = f"{_VEC}, d AS (SELECT e.vec_id, e.label AS cluster, round(sqrt(sum((x-m)*(x-m))), 9) AS distance FROM e JOIN c ON e.label=c.cluster AND e.pos=c.pos GROUP BY ALL)"
+
+
+@query(f"WITH {_OWN} SELECT cluster, rank, vec_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 12")
+def representatives_topn(spark, sf_dir):
+    top = clustering.representatives(table(spark, sf_dir, "embeddings"), 12, "label")
+    return top.select(F.col("label").alias("cluster"), F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_VEC}, d AS (SELECT e.vec_id, c.cluster, round(sqrt(sum((x-m)*(x-m))), 9) AS distance FROM e JOIN c ON e.pos=c.pos GROUP BY ALL) SELECT vec_id, cluster, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) AS rn FROM d) WHERE rn=1")
+def lloyd_step(spark, sf_dir):
+    return clustering.lloyd_step(table(spark, sf_dir, "embeddings"), "label").select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_VEC}, d AS (SELECT e.label AS cluster, e.vec_id, sum((x-m)*(x-m)) AS q FROM e JOIN c ON e.label=c.cluster AND e.pos=c.pos GROUP BY ALL) SELECT cluster, count(*) AS n, round(sum(q), 4) AS inertia FROM d GROUP BY cluster")
+def inertia_by_cluster(spark, sf_dir):
+    return clustering.inertia(table(spark, sf_dir, "embeddings"), "label")
+
+
+@query(f"""WITH v AS (SELECT * FROM embeddings ORDER BY md5('{SEED}:' || vec_id), vec_id LIMIT 2000),
+p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sqrt(greatest(0, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+g AS (SELECT vec_id, la, lb, avg(d) AS m FROM p GROUP BY ALL),
+s AS (SELECT vec_id, max(m) FILTER (WHERE la=lb) AS a, min(m) FILTER (WHERE la<>lb) AS b FROM g GROUP BY vec_id)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b-a)/greatest(a,b) END), 6) AS silhouette, count(*) AS n FROM s""")
+def silhouette_exact(spark, sf_dir):
+    s = clustering.silhouette(table(spark, sf_dir, "embeddings"), "label", sample=2000, seed=SEED)
+    return s.select(F.round("silhouette", 6).alias("silhouette"), "n")
+
+
+@query()
+def kmeans_sweep(spark, sf_dir):
+    sweep = clustering.sweep_k(table(spark, sf_dir, "embeddings"), [4, 6, 8], SEED, runs=2, sample=1000)
+    return sweep.crossJoin(clustering.sweep_flags(sweep)).join(clustering.best_k(sweep).select("k", F.lit(True).alias("best")), "k", "left")
+
+
+@query("SELECT vec_id, pos, round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS x FROM (SELECT vec_id, pos - 1 AS pos, x, sqrt(sum(x*x) OVER (PARTITION BY vec_id)) AS n FROM (SELECT vec_id, unnest(embedding)::DOUBLE * 3 AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings))")
+def l2_normalized(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").withColumn("v", l2_normalize(F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 3)))
+    return v.select("vec_id", F.posexplode("v").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+_ASKED = f"(SELECT * FROM embeddings ORDER BY md5('{SEED}:' || vec_id), vec_id LIMIT 200)"
+_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
+_PAIRS = f"p AS (SELECT a.vec_id AS id, b.vec_id AS match_id, round({_COS}, 6) AS cosine FROM {_ASKED} a JOIN embeddings b ON a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, match_id) AS rank FROM p)"
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """The golden set of the screen: a bounded, seeded sample."""
+    return sampling.uniform(table(spark, sf_dir, "embeddings"), 200, SEED, "vec_id")
+
+
+@query(f"WITH {_PAIRS} SELECT id, match_id AS best_id, cosine FROM k WHERE rank = 1 AND cosine > 0.4")
+def near_dup_screen(spark, sf_dir):
+    return records.near_screen(_asked(spark, sf_dir), table(spark, sf_dir, "embeddings"), 0.4)
+
+
+@query(f"WITH {_PAIRS} SELECT id, match_id, cosine, rank FROM k WHERE rank <= 5")
+def retrieval_topk(spark, sf_dir):
+    return records.top_matches(_asked(spark, sf_dir), table(spark, sf_dir, "embeddings"), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS us FROM events")
+def native_timestamp_parse(spark, sf_dir):
+    from threadlake.sources.files import parse_created_at
+
+    raw = F.concat(F.lit("Tue "), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format("ts", "yyyy"))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_micros(parse_created_at(raw)).alias("us"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type")
+def event_shares(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    total = e.agg(F.count("*").alias("t"))  # one row
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).crossJoin(F.broadcast(total)).select("event_type", "n", "users", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+
+
+@query("WITH v(tag, intent, description) AS (VALUES (0, 'a', 'x'), (1, 'b', ''), (2, NULL, NULL)) SELECT event_id, intent AS label, description FROM events JOIN v ON tag = event_id % 3")
+def json_label_parse(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 3 == 0, F.lit('<think>{"label": "no"}</think>Answer: {"label": " a ", "description": "x"}')).when(F.col("event_id") % 3 == 1, F.lit('first {"x": 1}\n```json\n{"label": "b"}\n```')).otherwise(F.lit("none {broken"))
+    return table(spark, sf_dir, "events").select("event_id", parse_label(raw).alias("p")).select("event_id", "p.label", "p.description")
+
+
+@query("SELECT 'cluster' AS source, 7::BIGINT AS n, 0.999::DOUBLE AS share UNION ALL SELECT 'keyword', 6, 0.271")
+def taxonomy_shares(spark, sf_dir):
+    return taxonomy.shares(taxonomy.curated(spark))
+
+
+@query("SELECT rule, detail FROM (VALUES ('x', 'y')) t(rule, detail) WHERE false")
+def taxonomy_validation(spark, sf_dir):
+    return taxonomy.violations(taxonomy.curated(spark))
