@@ -137,7 +137,10 @@ def _comparer(percent: int):
                 for x in left:
                     y = right[(ids[right] > ids[x]) | (i != j)]
                     y = y[(group[y] != group[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-                    y = y[(sig[y] == sig[x]).sum(axis=1) >= np.minimum(floor[y], floor[x])]
+                    same = sig[y] == sig[x]
+                    ok = same.sum(axis=1) >= np.minimum(floor[y], floor[x])
+                    # a pair that meets in several bands is told of in the first
+                    y = y[ok & (same.reshape(len(y), same.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == row["band"])]
                     out_a += np.minimum(ids[y], ids[x]).tolist()
                     out_b += np.maximum(ids[y], ids[x]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
@@ -164,10 +167,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = scratch.table(firsts.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sig"), "reps")
 
     # buckets: band number and key in one, the members dealt once
-    member = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("key"))
+    member = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", "band", F.xxhash64("band", "key").alias("key"))
     dealt = member.repartition("key")
     size = dealt.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    members = scratch.table(dealt.join(size, "key").select("key", "id", "centre", "size"), "members")
+    members = scratch.table(dealt.join(size, "key").select("key", "band", "id", "centre", "size"), "members")
     edges = scratch.table(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "edges")
 
     wanted = scratch.table(members.select("id").distinct(), "wanted")
@@ -178,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch.table(_verify(edges, texts, percent, k), "links")
     groups = scratch.table(connected_components(links, "a", "b", scratch), "groups")
 
-    now = members.where("size > 2").join(groups, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+    now = members.where("size > 2").join(groups, "id", "left").select("key", "band", "id", "size", F.coalesce("component", "id").alias("component"))
     now = scratch.table(now, "now")
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_ = now.join(mixed, "key", "left_semi").join(reps.select("id", "sig", F.col("n_shingles").alias("n")), "id")
@@ -187,10 +190,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = (
         open_.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .groupBy("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .agg(F.collect_list(F.struct("id", "component", "block", "n", "sig")).alias("members"))
     )
-    maybe = dealt.mapInArrow(_comparer(percent), "a long, b long").distinct().join(edges, ["a", "b"], "left_anti")
+    maybe = dealt.mapInArrow(_comparer(percent), "a long, b long").join(edges, ["a", "b"], "left_anti")
     maybe = scratch.table(maybe, "maybe")
     more = scratch.table(_verify(maybe, texts, percent, k), "more")
     if more.limit(1).count():
