@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from threadlake.session import Scratch
 
 BLOCK = 3072
+ROWS_PER_TASK = 6  # islands that a task evolves; their rows are so small that Spark would put them all in one task
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 4, 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -198,7 +199,7 @@ def _packed(scratch: Scratch, name: str, cut: DataFrame, count: int, first_block
     held = dealt.groupBy("block").agg(F.sort_array(F.collect_list(item)).alias("items"))
     held = scratch.table(held, f"{name}-blocks")
     state = held.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.transform("items", lambda x: (-x["key"]).cast("int")).alias("sizes"), F.lit(None).cast("array<array<int>>").alias("elite"))
-    state = scratch.table(state.repartition("block", "island").mapInArrow(_epoch(0, capacity, generations, POPULATION), ISLAND), f"{name}-epoch-0")
+    state = scratch.table(state.repartition(math.ceil(blocks * islands / ROWS_PER_TASK), "block", "island").mapInArrow(_epoch(0, capacity, generations, POPULATION), ISLAND), f"{name}-epoch-0")
     for e in range(1, epochs):
         sent = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("elite").alias("guests"))
         met = state.join(sent, ["block", "island"]).select("block", "island", "sizes", F.concat("elite", "guests").alias("elite"))
