@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from threadlake.llm.line_dedup import ascii_lower
 from threadlake.session import Scratch
 
-BROADCAST_WINDOWS = 200_000  # windows in the broadcast set at most, about 100 bytes each
+BROADCAST_WINDOWS = 50_000  # windows in the broadcast set at most; their hashes travel in the plan, 8 bytes each
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -22,13 +22,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), NO_WORD, -1), lambda w: w != "")
 
 
+def window_hash(w: Column, at: Column, length: int) -> Column:
+    """The hash of ``length`` words from ``at``, counted from 0. Words are taken one by one: a slice would copy the whole array each time."""
+    return F.xxhash64(*[F.get(w, at + k) for k in range(length)])
+
+
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(hash, window, len, items): each distinct window once, with the sorted ids, as strings, of the items that have it."""
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     n = F.size("w")
     starts = F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1)))
     each = items.select("item", F.least(n, F.lit(size)).alias("len"), F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("window"))
-    return each.groupBy("window", "len").agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.xxhash64("window").alias("hash"), "window", "len", "items")
+    hashed = F.lit(None).cast("long")
+    for length in range(1, size + 1):
+        hashed = F.when(F.col("len") == length, window_hash(F.col("window"), F.lit(0), length)).otherwise(hashed)
+    return each.groupBy("window", "len").agg(F.array_sort(F.collect_set("item")).alias("items")).select(hashed.alias("hash"), "window", "len", "items")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, broadcast_limit: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -42,21 +50,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     windows = scratch.table(benchmark_windows(benchmark, item_col, item_text_col, size), "windows")
     lengths = [r["len"] for r in windows.select("len").distinct().collect()]  # at most ``size`` values
     few = windows.limit(broadcast_limit + 1).count() <= broadcast_limit
+    known: dict[int, list[int]] = {n: [] for n in lengths}
+    for r in windows.select("len", "hash").distinct().collect() if few else ():
+        known[r["len"]].append(r["hash"])
 
     def places(length: int) -> Column:
+        """Where windows of a length start whose hash is in the set; all starts, if the set is too large to be sent."""
         n = F.size("w")
         at = F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"), F.xxhash64(F.slice("w", i + 1, length)).alias("hash"), F.slice("w", i + 1, length).alias("words")))
+        at = F.filter(at, lambda i: window_hash(F.col("w"), i, length).isin(known[length])) if few else at
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"), window_hash(F.col("w"), i, length).alias("hash"), F.array(*[F.get("w", i + k) for k in range(length)]).alias("window")))
 
     base = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    # one row without a place stands for the document itself
-    none = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("long").alias("hash"), F.lit(None).cast("array<string>").alias("words")))
-    each = base.select("id", F.size("w").alias("n_words"), F.explode(F.concat(none, *map(places, lengths))).alias("p")).select("id", "n_words", "p.*")
-    known = windows.select("hash", "len", F.col("window").alias("words"), "items")
-    # joined on the hash, verified on the words
-    known = F.broadcast(known) if few else known
-    met = each.join(known.withColumnRenamed("words", "window"), ["hash", "len"], "left").where(F.col("at").isNull() | (F.col("window") == F.col("words")))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "len"))), lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1)))))
+    # one place of length 0 stands for the document itself; its hash only spreads the rows
+    itself = F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.xxhash64("id").alias("hash"), F.array().cast("array<string>").alias("window"))
+    each = base.select("id", F.size("w").alias("n_words"), F.explode(F.concat(F.array(itself), *map(places, lengths))).alias("p")).select("id", "n_words", "p.*")
+    # verified on the words
+    found = windows.select("hash", "len", "window", "items")
+    met = each.join(F.broadcast(found) if few else found, ["hash", "len", "window"], "left").where("len = 0 OR items IS NOT NULL")
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.when(F.col("len") > 0, F.struct("at", "len"))), lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1)))))
     return met.groupBy("id").agg(
         F.max("n_words").cast("long").alias("n_words"),
         covered.alias("hits"),
