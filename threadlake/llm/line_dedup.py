@@ -26,11 +26,10 @@ def ascii_lower(text: Column) -> Column:
 def line_keys(lines: Column, least: int) -> Column:
     """For each line a struct (hi, lo), 96 bits of hash of its stripped lower-cased form; null where that is shorter than ``least``."""
 
-    def key(line):
-        bare = F.btrim(line, F.lit(SPACE))
-        return F.when(F.length(bare) >= least, F.struct(F.xxhash64(ascii_lower(bare)).alias("hi"), F.hash(ascii_lower(bare)).alias("lo")))
-
-    return F.transform(lines, key)
+    # one step per array: within one lambda each use of a value would compute it again
+    bare = F.transform(lines, lambda x: F.when(F.length(x) >= least, F.btrim(x, F.lit(SPACE))))
+    low = F.transform(bare, lambda x: F.when(F.length(x) >= least, ascii_lower(x)))
+    return F.transform(low, lambda x: F.when(x.isNotNull(), F.struct(F.xxhash64(x).alias("hi"), F.hash(x).alias("lo"))))
 
 
 class Runs:

@@ -111,8 +111,8 @@ def _refs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rid, pa.int64()), pa.array(num, pa.int32()), pa.array(dig, pa.binary())], ["doc_id", "rid", "i", "digest"])
 
 
-ROW = "doc_id long, rid long, n_bytes long, media_sha256 string, digests array<binary>, refs array<int>, own binary"
-_ROW = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.string()), ("digests", pa.list_(pa.binary())), ("refs", pa.list_(pa.int32())), ("own", pa.binary())])
+ROW = "doc_id long, rid long, n_bytes long, media_sha256 string, digests array<binary>, refs array<int>, lend array<int>, own binary"
+_ROW = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.string()), ("digests", pa.list_(pa.binary())), ("refs", pa.list_(pa.int32())), ("lend", pa.list_(pa.int32())), ("own", pa.binary())])
 LEVEL = 9
 
 
@@ -139,7 +139,7 @@ def _store(batches):
                 parts = chunks(media)
                 gone = set(r["gone"] or ())
                 own = b"".join(p for i, (_, p) in enumerate(parts) if i not in gone)
-                out.append({"doc_id": r["doc_id"], "rid": r["rid"], "n_bytes": len(text), "media_sha256": hashlib.sha256(media).hexdigest(), "digests": [d for d, _ in parts], "refs": sorted(gone), "own": struct.pack(f"<{len(parts)}I", *[0 if i in gone else len(p) for i, (_, p) in enumerate(parts)]) + z.compress(own)})
+                out.append({"doc_id": r["doc_id"], "rid": r["rid"], "n_bytes": len(text), "media_sha256": hashlib.sha256(media).hexdigest(), "digests": [d for d, _ in parts], "refs": sorted(gone), "lend": sorted(r["lend"] or ()), "own": struct.pack(f"<{len(parts)}I", *[0 if i in gone else len(p) for i, (_, p) in enumerate(parts)]) + z.compress(own)})
             yield pa.RecordBatch.from_pylist(out, _ROW)
 
 
@@ -167,27 +167,26 @@ def build_store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     # a chunk may be in a third of all documents: both sides are salted
     salt = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(16)).cast("int")
     many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    gone = refs.withColumn("salt", salt).join(many, ["digest", "salt"]).where(place != F.col("owner"))
-    gone = gone.groupBy("doc_id", "rid").agg(F.collect_set("i").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "gone")
+    met = refs.withColumn("salt", salt).join(many, ["digest", "salt"])
+    role = met.groupBy("doc_id", "rid").agg(F.collect_set(F.when(place != F.col("owner"), F.col("i"))).alias("gone"), F.collect_set(F.when(place == F.col("owner"), F.col("i"))).alias("lend"))
+    role = role.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "gone", "lend")
     packed = rows.mapInArrow(_squeeze, "doc_id long, rid long, z binary")
-    met = packed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rid") == F.col("_r")), "left").drop("_d", "_r")
+    met = packed.join(role, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rid") == F.col("_r")), "left").drop("_d", "_r")
     store = scratch.table(met.mapInArrow(_store, ROW), "store", "none")
     scratch.drop("refs")
     return store
 
 
 def _owned(batches):
-    """The bytes of the chunks that ``want`` names."""
+    """The bytes of the chunks that other documents refer to."""
     z = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         dig, data = [], []
         for r in batch.to_pylist():
             have = own_chunks(r)
-            for i in r["want"]:
-                if i in have:
-                    dig.append(r["digests"][i])
-                    data.append(z.compress(have[i]))
+            for i in r["lend"]:
+                dig.append(r["digests"][i])
+                data.append(z.compress(have[i]))
         yield pa.RecordBatch.from_arrays([pa.array(dig, pa.binary()), pa.array(data, pa.binary())], ["digest", "data"])
 
 
@@ -222,16 +221,14 @@ def _read(batches):
 
 def read_features(store: DataFrame, scratch: Scratch) -> DataFrame:
     """Read every document of the store back and describe it."""
-    refs = store.where(F.size("refs") > 0).select("doc_id", "rid", F.explode("refs").alias("i"), "digests").select("doc_id", "rid", "i", F.col("digests")[F.col("i")].alias("digest"))
+    refs = store.where(F.size("refs") > 0).select("doc_id", "rid", F.explode(F.transform("refs", lambda i: F.struct(i.alias("i"), F.get("digests", i).alias("digest")))).alias("x")).select("doc_id", "rid", "x.i", "x.digest")
     refs = scratch.table(refs, "fetch", "none")
-    # owners' rows by digest: only chunk lists move to find them
-    listed = store.select("doc_id", "rid", "refs", F.posexplode("digests").alias("i", "digest")).where(~F.array_contains("refs", F.col("i")))
-    wanted = listed.join(refs.select("digest").distinct(), "digest", "left_semi").groupBy("doc_id", "rid").agg(F.collect_set("i").alias("want")).withColumnRenamed("doc_id", "_d").withColumnRenamed("rid", "_r")
-    lend = store.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rid") == F.col("_r"))).select("doc_id", "digests", "own", "want")
-    lent = scratch.table(lend.mapInArrow(_owned, "digest binary, data binary").dropDuplicates(["digest"]), "lent", "none")
+    # owners know what they lend, so that this is a scan
+    lent = store.where(F.size("lend") > 0).select("digests", "own", "lend").mapInArrow(_owned, "digest binary, data binary")
+    lent = scratch.table(lent.dropDuplicates(["digest"]), "lent", "none")
+    # a chunk that a third of the documents refer to goes out once per salt
     salt = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(16)).cast("int")
-    spread = lent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    need = refs.select("digest", salt.alias("salt")).distinct().join(spread, ["digest", "salt"])
+    need = refs.select("digest", salt.alias("salt")).distinct().join(lent, "digest")
     met = refs.withColumn("salt", salt).join(need, ["digest", "salt"]).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("i", "data")).alias("fetched"))
     met = met.withColumnRenamed("doc_id", "_d").withColumnRenamed("rid", "_r")
     plain = store.where(F.size("refs") == 0).withColumn("fetched", F.lit(None).cast("array<struct<i:int,data:binary>>"))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.session import Scratch
+
 DECAY = 0.5
 PATTERNS = [(1, 2, 1.0), (1, 3, DECAY), (2, 3, DECAY), (1, 4, DECAY**2), (2, 4, DECAY**2), (3, 4, DECAY**2)]
 SYMBOLS, GAP, START = 64, 28, 63
@@ -243,7 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Toxic documents say which words they have that clean ones lack (counted over documents of different least word hash, so that copies count
     little); those words are the positive instances, words of clean documents the negative ones, with the worst scored mined again.
     """
-    rows = training_rows(docs, labels, id_col, text_col, label_col, limit)
+    # written once: else each use scans all documents, and the word filters run before the join that picks the sample
+    rows = Scratch(docs.sparkSession, "toxicity").table(training_rows(docs, labels, id_col, text_col, label_col, limit), "sample")
     each = rows.select("y", _words(F.col("text")).alias("w")).where(F.size("w") > 0)
     each = each.select("y", F.array_min(F.transform("w", lambda w: F.xxhash64(w))).alias("group"), F.explode("w").alias("w")).distinct()
     counts = each.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).persist()
