@@ -293,7 +293,7 @@ def test_media(spark):
 
 
 def test_damage_is_seen():
-    wav = media.to_wav(media.payload("some text " * 900)[0])
+    wav = media.to_wav(media.payload(" ".join(f"word{i * i}" for i in range(2000)))[0])
     parts = media.chunks(wav)
     assert b"".join(p for _, p in parts) == wav and len(parts) > 1
     import struct
@@ -306,6 +306,15 @@ def test_damage_is_seen():
         media.rebuilt(row | {"own": row["own"][: 4 * len(parts)] + zstandard.compress(wav[:-1] + b"x")})
 
 
+def test_repetitive_text_is_cut_at_the_greatest_size():
+    """Ten bytes over and over give the hash few values, none of which cuts here; the size limit does."""
+    short, long = (media.to_wav(media.payload("some text " * n)[0]) for n in (900, 9000))
+    assert [len(p) for _, p in media.chunks(short)] == [len(short)]
+    sizes = [len(p) for _, p in media.chunks(long)]
+    assert sizes == [media.GREATEST] * (len(long) // media.GREATEST) + [len(long) % media.GREATEST]
+    assert b"".join(p for _, p in media.chunks(long)) == long
+
+
 def test_gear_hash_is_rolling():
     rng = random.Random(1)
     data = bytes(rng.randrange(256) for _ in range(6000))
