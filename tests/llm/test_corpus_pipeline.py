@@ -38,3 +38,10 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == set(before)
     sums = {r["s"] for r in out.groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "s").collect()}
     assert max(sums) <= 1024
+
+
+def test_a_passage_of_one_item_is_dealt_with(spark):
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").orderBy("item_id").first()["text"]
+    texts = ["nothing of the kind", f"before it {item} after it", " ".join(item.split()[:9]), " ".join(item.split()[:7])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in P.drop_contaminated(spark, docs, DIR).collect()} == {0, 3}
