@@ -201,6 +201,20 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)[1]
 
 
+def test_low_bytes_alone_do_not_make_a_common_band():
+    """Band 0 agrees in the signatures' low bytes only, so that the two meet in band 1 first."""
+    import numpy as np
+    import pyarrow as pa
+
+    sig = np.arange(252, dtype=np.uint8).tobytes()
+    bands = [np.arange(36).tolist() for _ in range(2)]
+    bands[1][0] = 99
+    members = [{"id": i, "component": i, "block": 0, "n": 100, "bands": bands[i], "sig": sig} for i in range(2)]
+    rows = [{"band": b, "i": 0, "j": 0, "members": members} for b in (1, 2)]
+    out = list(near_dedup._comparer(85)([pa.RecordBatch.from_pylist(rows)]))
+    assert [r for batch in out for r in batch.to_pylist()] == [{"a": 0, "b": 1}]
+
+
 def test_signatures_estimate_similarity():
     import numpy as np
 

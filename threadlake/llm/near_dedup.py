@@ -131,16 +131,16 @@ def _comparer(percent: int):
                 group = np.array([m["component"] for m in part], np.int64)
                 block = np.array([m["block"] for m in part], np.int64)
                 size = np.array([m["n"] for m in part], np.int64)
+                bands = np.array([m["bands"] for m in part], np.int64)
                 sig = np.frombuffer(b"".join(m["sig"] for m in part), np.uint8).reshape(len(part), -1)
                 left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
                 floor = np.array([agreement_floor(sig.shape[1], int(2 ** math.ceil(math.log2(max(1, n)))), percent) for n in size])
                 for x in left:
                     y = right[(ids[right] > ids[x]) | (i != j)]
                     y = y[(group[y] != group[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-                    same = sig[y] == sig[x]
-                    ok = same.sum(axis=1) >= np.minimum(floor[y], floor[x])
-                    # a pair that meets in several bands is told of in the first
-                    y = y[ok & (same.reshape(len(y), same.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == row["band"])]
+                    y = y[(sig[y] == sig[x]).sum(axis=1) >= np.minimum(floor[y], floor[x])]
+                    # a pair that meets in several bands is told of in the first, by the keys that make buckets: signatures here have low bytes only
+                    y = y[(bands[y] == bands[x]).argmax(axis=1) == row["band"]]
                     out_a += np.minimum(ids[y], ids[x]).tolist()
                     out_b += np.maximum(ids[y], ids[x]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
@@ -184,14 +184,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     now = members.where("size > 2").join(groups, "id", "left").select("key", "band", "id", "size", F.coalesce("component", "id").alias("component"))
     now = scratch.table(now, "now")
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = now.join(mixed, "key", "left_semi").join(reps.select("id", "sig", F.col("n_shingles").alias("n")), "id")
+    open_ = now.join(mixed, "key", "left_semi").join(reps.select("id", "bands", "sig", F.col("n_shingles").alias("n")), "id")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     block = F.pmod(F.xxhash64("id"), blocks)
     dealt = (
         open_.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .groupBy("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .agg(F.collect_list(F.struct("id", "component", "block", "n", "sig")).alias("members"))
+        .agg(F.collect_list(F.struct("id", "component", "block", "n", "bands", "sig")).alias("members"))
     )
     maybe = dealt.mapInArrow(_comparer(percent), "a long, b long").join(edges, ["a", "b"], "left_anti")
     maybe = scratch.table(maybe, "maybe")
