@@ -51,6 +51,13 @@ def test_vectors(spark):
     assert [(r["id"], r["best_id"]) for r in records.near_screen(a, b).collect()] == [(1, 7)]
 
 
+def test_queries_beyond_a_block(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    asked = v.where("vec_id < 11")
+    whole, parts = (sorted(tuple(r) for r in records.top_matches(asked, v, 3, block=b).collect()) for b in (4096, 4))
+    assert len(whole) == 33 and parts == whole
+
+
 def test_kappa_and_strata(spark):
     p = spark.createDataFrame([("x", "x"), ("x", "y"), ("y", "y"), ("y", "y")], "a string, b string")
     assert records.kappa(p, "a", "b").first().asDict() == {"n": 4, "kappa": 0.5}
