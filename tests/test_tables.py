@@ -1,8 +1,11 @@
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
 from threadlake.functions.vectors import l2_normalize
 from threadlake.operators import budget, clustering, records, taxonomy
+from threadlake.plans import registry
 from threadlake.streaming.latest import LatestTable, windowed_counts
 
 VEC = "vec_id long, label int, embedding array<float>"
@@ -58,6 +61,20 @@ def test_queries_beyond_a_block(spark):
     assert len(whole) == 33 and parts == whole
 
 
+def test_sweep_covers_the_reference(spark, monkeypatch):
+    seen, real = {}, inspect.signature(clustering.sweep_k)
+
+    def sweep_k(*args, **options):
+        held = real.bind(*args, **options)
+        held.apply_defaults()
+        seen.update(held.arguments)
+        return spark.createDataFrame([(8, 0.3, 1.0)], "k int, silhouette double, inertia double")
+
+    monkeypatch.setattr(clustering, "sweep_k", sweep_k)
+    registry.kmeans_sweep(spark, "/root/testdata/sf0.001")
+    assert (list(seen["ks"]), seen["runs"], seen["sample"]) == (list(range(8, 15)), 3, 5000)
+
+
 def test_kappa_and_strata(spark):
     p = spark.createDataFrame([("x", "x"), ("x", "y"), ("y", "y"), ("y", "y")], "a string, b string")
     assert records.kappa(p, "a", "b").first().asDict() == {"n": 4, "kappa": 0.5}

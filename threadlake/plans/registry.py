@@ -272,7 +272,7 @@ def silhouette_exact(spark, sf_dir):
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    sweep = clustering.sweep_k(table(spark, sf_dir, "embeddings"), [4, 6, 8], SEED, runs=2, sample=1000)
+    sweep = clustering.sweep_k(table(spark, sf_dir, "embeddings"), list(range(8, 15)), SEED)
     return sweep.crossJoin(clustering.sweep_flags(sweep)).join(clustering.best_k(sweep).select("k", F.lit(True).alias("best")), "k", "left")
 
 
