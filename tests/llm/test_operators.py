@@ -90,6 +90,30 @@ def test_license_cues_cover_templates():
         assert all(re.search(license_scan.CUES, t) for t in texts)
 
 
+def test_license_cues_cover_what_can_be_confirmed(spark):
+    for texts in license_scan._templates().values():
+        for pairs in map(set, texts):
+            assert sum(not re.search(license_scan.CUES.replace("|^\\W*mit\\b", "").replace("|^\\W*code\\b", ""), p) for p in pairs) < 0.6 * len(pairs)
+    forms = license_scan.training_set(spark).where(F.col("family") != license_scan.UNKNOWN)
+    assert [r["text"] for r in forms.collect() if not re.search(license_scan.CUES, r["text"])] == []
+
+
+def test_wrapped_notices(spark):
+    import textwrap
+
+    long = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts if len(t) > 80]
+    texts, want = ["Released under the MIT", "plain\n\nReleased under the\n\nMIT License."], [(1, "mit"), (0, "")]
+    for family, t in long:
+        for width, mark in ((70, ""), (40, " * ")):
+            texts.append("first words of a file\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n\nlast words")
+            want.append((1, family))
+    texts.append("\n".join(textwrap.wrap(long[0][1], 70) + ["Released under the MIT License."] + textwrap.wrap(long[1][1], 70)))
+    want.append((3, ",".join(sorted({"mit", long[0][0], long[1][0]}))))
+    rows = docs(spark, texts)
+    got = {r["doc_id"]: (r["n_licences"], r["families"]) for r in license_scan.by_document(rows, license_scan.scan(rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
