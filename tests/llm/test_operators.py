@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -542,7 +543,72 @@ def test_toxicity(spark):
     assert clean.columns == rows.columns and {r["doc_id"] for r in clean.collect()} == {i for i in got if got[i] < 0.5}
     assert toxicity.score(rows.limit(0), model).count() == 0
     none = toxicity.fit(rows, lab.limit(0))
-    assert {round(r["score"], 3) for r in toxicity.score(rows, none).collect()} != set()
+    assert len({r["score"] for r in toxicity.score(rows, none).collect()}) == 1
+
+
+def test_kernel_values_against_brute_force():
+    import itertools
+    import math
+
+    def subsequences(word):
+        word, out = "^" + word, {}
+        for c in itertools.combinations(range(len(word)), 3):
+            if c[2] - c[0] < 5:
+                key = "".join(word[i] for i in c)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (c[2] - c[0] - 2)
+        return out
+
+    def kernel(a, b):
+        a, b = subsequences(a), subsequences(b)
+        dot = sum(v * b.get(k, 0) for k, v in a.items())
+        return dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())) if dot else 0.0
+
+    words = ["idiot", "idxiot", "idiots", "banana", "aaaa", "ab", "a", "clown", "toidi"]
+    landmarks = ["idiot", "banana", "aaa", "clow"]
+    k = toxicity.Kernel([toxicity.letters(w) for w in landmarks[:2]], [toxicity.letters(w) for w in landmarks[2:]])
+    got = k.values([toxicity.letters(w) for w in words])
+    for i, w in enumerate(words):
+        for j, m in enumerate(landmarks):
+            assert abs(got[i, j] - kernel(w, m) ** toxicity.DEGREE) < 1e-5
+        if max(kernel(w, m) for m in landmarks[:2]) >= toxicity.NEAR:
+            assert k.near([toxicity.letters(w)])[0]
+    z = got @ k.whitening()  # Nystroem coordinates of landmarks give back their kernel values
+    assert abs(z[0] @ z[3] - kernel("idiot", "banana") ** toxicity.DEGREE) < 1e-4
+    for form in ("i.d.i.o.t", "i-d-i-o-t", "idiot!!", "*idiot*"):
+        assert (toxicity.letters(form) == toxicity.letters("idiot")).all()
+
+
+def test_sentences_and_spaced_words():
+    model = toxicity.Model()
+    s, score, starts = model.sentences(["One two. Three\nfour", "", "i d i o t you", " ".join(["w"] + ["word"] * 70)])
+    words = [w for w in s.words if w]
+    assert words[:5] == ["one", "two.", "three", "four", "idiot"]
+    assert starts.tolist() == [0, 2, 3, 4, 10, 10 + 32, 10 + 64] and len(score) == len(s.words)
+    assert len(model.decisions(["", "x", "\n\n"])) == 3
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    if not Path(sf).exists():
+        pytest.skip("no test tables")
+    rows, lab = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(rows, lab)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    got = toxicity.score(rows, model).join(lab, "doc_id").where(held).select("toxic", "score").collect()
+    bad, good = ([r["score"] for r in got if r["toxic"] == y] for y in (1, 0))
+    assert sum((a > b) + 0.5 * (a == b) for a in bad for b in good) >= 0.93 * len(bad) * len(good)
+
+
+def test_odd_labels(spark):
+    """Null labels and ids count for nothing, repeated ones by the greatest; without both kinds all rows score alike; a threshold of 0 drops all."""
+    rows = docs(spark, ["fine words here", "blurgo", None, ""], extra=True)
+    lab = spark.createDataFrame([(0, None), (None, 1), (1, 0), (1, 1), (3, 1)], "doc_id long, toxic int")
+    assert {(r["id"], r["y"]) for r in toxicity.training_rows(rows, lab).collect()} == {(i, 1) for i in (1, 3) if zlib.crc32(str(i).encode()) % 5}
+    scores = {r["score"] for r in toxicity.score(rows, toxicity.fit(rows, lab)).collect()}
+    assert len(scores) == 1 and 0 <= scores.pop() <= 1
+    assert toxicity.drop_toxic(rows, lab.limit(0)).columns == rows.columns
+    assert toxicity.drop_toxic(rows, lab.limit(0), threshold=0.0).count() == 0
+    assert toxicity.drop_toxic(rows, lab.limit(0)).count() == 4
 
 
 def test_no_label_of_the_held_out_fifth_is_used(spark):
