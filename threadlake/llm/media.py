@@ -1,11 +1,12 @@
 """Media columns: payloads as media files, stored as content-defined chunks.
 
-A text's UTF-8 bytes, padded with bytes 0 to a positive multiple of 64, are the samples of an 8-bit mono WAV file. The file is cut where a
-rolling gear hash of the last 32 bytes says so, within a least and a greatest chunk size; so equal passages give equal
+A text's UTF-8 bytes, padded with bytes 0 to a positive multiple of 64, are the samples of an 8-bit mono WAV file. What follows the file's header is cut
+where a rolling gear hash of the last 32 bytes says so, within a least and a greatest chunk size; so equal passages give equal
 chunks wherever they stand. Chunk digests, not bytes, are shuffled to find each chunk's owner (the first document and place that has
-it). The store has one row per document: its ordered chunk list, with the bytes of the chunks that it owns. Reading back takes
-a document's own chunks from its row and fetches only the others by a join on their digests, checks the digest of
-every chunk and of the whole file, and parses the file.
+it). The store has one row per document: its header, its ordered chunk list, and the bytes of the chunks that it owns. Only documents that share a
+chunk are shuffled on the way there: a Bloom filter of fixed size tells the others, whose rows are written where they are read; what it
+lets through by mistake is only shuffled in vain. Reading back takes a document's own chunks from its row and fetches only the others by a
+join on their digests, checks the digest of every chunk and of the whole file, and parses the file.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from threadlake.session import Scratch
 
-LEAST, MASK_BITS, GREATEST = 2048, 12, 32768
+LEAST, MASK_BITS, GREATEST = 512, 11, 32768
+BLOOM_BITS = 1 << 26  # 8 MB, sent to all executors
+BLOOM_HASHES = 2
 RATE = 8000
 HEADER = 44
 REFS = "doc_id long, rid long, i int, digest binary"
@@ -95,15 +98,19 @@ def features(samples: bytes) -> str:
     return f"n={len(x)};mean={x.mean():.4f};std={x.std():.4f};cross={int((side[1:] != side[:-1]).sum())};peak={int(x.max())}"
 
 
+def row_id(samples: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(samples) >> 1
+
+
 def _refs(batches):
     """(doc_id, rid, i, digest) of every chunk; rid tells rows apart that repeat an id."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             doc, rid, num, dig = [], [], [], []
             for d, t in zip(batch.column(0)[at : at + 512].to_pylist(), batch.column(1)[at : at + 512].to_pylist(), strict=True):
-                media = to_wav(payload(t)[0])
-                r = xxhash.xxh3_64_intdigest(media) >> 1
-                for i, (digest, _) in enumerate(chunks(media)):
+                samples = payload(t)[0]
+                r = row_id(samples)
+                for i, (digest, _) in enumerate(chunks(samples)):
                     doc.append(d)
                     rid.append(r)
                     num.append(i)
@@ -111,36 +118,77 @@ def _refs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rid, pa.int64()), pa.array(num, pa.int32()), pa.array(dig, pa.binary())], ["doc_id", "rid", "i", "digest"])
 
 
-ROW = "doc_id long, rid long, n_bytes long, media_sha256 string, digests array<binary>, refs array<int>, lend array<int>, own binary"
-_ROW = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.string()), ("digests", pa.list_(pa.binary())), ("refs", pa.list_(pa.int32())), ("lend", pa.list_(pa.int32())), ("own", pa.binary())])
-LEVEL = 9
+ROW = "doc_id long, rid long, n_bytes long, media_sha256 string, head binary, digests array<binary>, refs array<int>, lend array<int>, own binary"
+_ROW = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.string()), ("head", pa.binary()), ("digests", pa.list_(pa.binary())), ("refs", pa.list_(pa.int32())), ("lend", pa.list_(pa.int32())), ("own", pa.binary())])
+LEVEL = 3
 
 
-def _squeeze(batches):
-    z = zstandard.ZstdCompressor(level=LEVEL)
-    for batch in batches:
-        texts = batch.column(1)
-        for at in range(0, batch.num_rows, 512):
-            some = texts[at : at + 512].to_pylist()
-            rid = [xxhash.xxh3_64_intdigest(to_wav(payload(t)[0])) >> 1 for t in some]
-            packed = [z.compress((t or "").encode("utf-8", "surrogatepass")) for t in some]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512], pa.array(rid, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "rid", "z"])
+def store_row(doc: int | None, raw: bytes, gone: set[int], lend: list[int], z: zstandard.ZstdCompressor) -> dict:
+    """The chunk list of a payload with the bytes of all chunks that are not in ``gone``, compressed together."""
+    samples = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+    media = to_wav(samples)
+    parts = chunks(samples)
+    own = b"".join(p for i, (_, p) in enumerate(parts) if i not in gone)
+    sizes = struct.pack(f"<{len(parts)}I", *[0 if i in gone else len(p) for i, (_, p) in enumerate(parts)])
+    return {"doc_id": doc, "rid": row_id(samples), "n_bytes": len(raw), "media_sha256": hashlib.sha256(media).hexdigest(), "head": media[:HEADER], "digests": [d for d, _ in parts], "refs": sorted(gone), "lend": sorted(lend), "own": sizes + z.compress(own)}
+
+
+class Bloom:
+    """Which rows may share a chunk, in a bit table of fixed size. More rows than it is made for only make it say "may" more often."""
+
+    def __init__(self, words: dict[int, int]):
+        self.bits = np.zeros(BLOOM_BITS // 64, np.uint64)
+        for at, word in words.items():
+            self.bits[at] = np.uint64(word & (2**64 - 1))
+
+    def may(self, rid: int) -> bool:
+        return all(int(self.bits[p >> 6]) >> (p & 63) & 1 for p in (rid % BLOOM_BITS, (rid >> 32) * 2654435761 % BLOOM_BITS))
+
+
+def bloom(rids: DataFrame) -> Bloom:
+    """At most one row per word of the table comes to the driver."""
+    place = F.array(F.pmod("rid", F.lit(BLOOM_BITS)), F.pmod(F.shiftrightunsigned("rid", 32) * F.lit(2654435761), F.lit(BLOOM_BITS)))
+    at = rids.select(F.explode(place).alias("p")).select(F.shiftright("p", 6).alias("at"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+    words = at.groupBy("at").agg(F.bit_or("bit").alias("word"))
+    return Bloom({r["at"]: r["word"] for r in words.toLocalIterator()})
+
+
+def _alone(shared):
+    """Store rows of the documents that share no chunk."""
+
+    def run(batches):
+        z, seen = zstandard.ZstdCompressor(level=LEVEL), shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                out = []
+                for d, t in zip(batch.column(0)[at : at + 512].to_pylist(), batch.column(1)[at : at + 512].to_pylist(), strict=True):
+                    if not seen.may(row_id(payload(t)[0])):
+                        out.append(store_row(d, (t or "").encode("utf-8", "surrogatepass"), set(), [], z))
+                yield pa.RecordBatch.from_pylist(out, _ROW)
+
+    return run
+
+
+def _squeeze(shared):
+    """The texts that may share a chunk, compressed for the shuffle."""
+
+    def run(batches):
+        z, seen = zstandard.ZstdCompressor(level=LEVEL), shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = [(d, row_id(payload(t)[0]), t) for d, t in zip(batch.column(0)[at : at + 512].to_pylist(), batch.column(1)[at : at + 512].to_pylist(), strict=True)]
+                rows = [(d, r, z.compress((t or "").encode("utf-8", "surrogatepass"))) for d, r, t in rows if seen.may(r)]
+                doc, rid, packed = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rid, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "rid", "z"])
+
+    return run
 
 
 def _store(batches):
-    """Rows of the store: the chunk list, and the bytes of all chunks that are not in ``gone``, compressed together."""
     z, back = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            out = []
-            for r in batch.slice(at, 512).to_pylist():
-                text = back.decompress(r["z"])
-                media = to_wav(text + b"\0" * (-len(text) % 64 or (0 if text else 64)))
-                parts = chunks(media)
-                gone = set(r["gone"] or ())
-                own = b"".join(p for i, (_, p) in enumerate(parts) if i not in gone)
-                out.append({"doc_id": r["doc_id"], "rid": r["rid"], "n_bytes": len(text), "media_sha256": hashlib.sha256(media).hexdigest(), "digests": [d for d, _ in parts], "refs": sorted(gone), "lend": sorted(r["lend"] or ()), "own": struct.pack(f"<{len(parts)}I", *[0 if i in gone else len(p) for i, (_, p) in enumerate(parts)]) + z.compress(own)})
-            yield pa.RecordBatch.from_pylist(out, _ROW)
+            yield pa.RecordBatch.from_pylist([store_row(r["doc_id"], back.decompress(r["z"]), set(r["gone"] or ()), r["lend"] or [], z) for r in batch.slice(at, 512).to_pylist()], _ROW)
 
 
 def own_chunks(row: dict) -> dict[int, bytes]:
@@ -161,7 +209,7 @@ def build_store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     of them hold the owner's bytes. Null ids are an id of their own.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    refs = scratch.table(rows.mapInArrow(_refs, REFS), "refs", "none")
+    refs = scratch.table(rows.mapInArrow(_refs, REFS), "refs")
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "rid", "i")
     many = refs.groupBy("digest").agg(F.min(place).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
     # a chunk may be in a third of all documents: both sides are salted
@@ -169,11 +217,13 @@ def build_store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     met = refs.withColumn("salt", salt).join(many, ["digest", "salt"])
     role = met.groupBy("doc_id", "rid").agg(F.collect_set(F.when(place != F.col("owner"), F.col("i"))).alias("gone"), F.collect_set(F.when(place == F.col("owner"), F.col("i"))).alias("lend"))
-    role = role.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "gone", "lend")
-    packed = rows.mapInArrow(_squeeze, "doc_id long, rid long, z binary")
-    met = packed.join(role, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rid") == F.col("_r")), "left").drop("_d", "_r")
-    store = scratch.table(met.mapInArrow(_store, ROW), "store", "none")
+    role = scratch.table(role.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "gone", "lend"), "role")
     scratch.drop("refs")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(role.select(F.col("_r").alias("rid"))))
+    packed = rows.mapInArrow(_squeeze(shared), "doc_id long, rid long, z binary")
+    met = packed.join(role, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rid") == F.col("_r")), "left").drop("_d", "_r")
+    store = scratch.table(rows.mapInArrow(_alone(shared), ROW).unionByName(met.mapInArrow(_store, ROW)), "store", "none")
+    scratch.drop("role")
     return store
 
 
@@ -202,7 +252,7 @@ def rebuilt(row: dict) -> bytes:
     for i, digest in enumerate(row["digests"]):
         if i not in have or xxhash.xxh3_128_digest(have[i]) != digest:
             raise ValueError(f"chunk {i} of document {row['doc_id']} is missing or damaged")
-    media = b"".join(have[i] for i in range(len(row["digests"])))
+    media = (row.get("head") or b"") + b"".join(have[i] for i in range(len(row["digests"])))
     if hashlib.sha256(media).hexdigest() != row["media_sha256"]:
         raise ValueError(f"document {row['doc_id']} is damaged")
     return media
@@ -222,7 +272,7 @@ def _read(batches):
 def read_features(store: DataFrame, scratch: Scratch) -> DataFrame:
     """Read every document of the store back and describe it."""
     refs = store.where(F.size("refs") > 0).select("doc_id", "rid", F.explode(F.transform("refs", lambda i: F.struct(i.alias("i"), F.get("digests", i).alias("digest")))).alias("x")).select("doc_id", "rid", "x.i", "x.digest")
-    refs = scratch.table(refs, "fetch", "none")
+    refs = scratch.table(refs, "fetch")
     # owners know what they lend, so that this is a scan
     lent = store.where(F.size("lend") > 0).select("digests", "own", "lend").mapInArrow(_owned, "digest binary, data binary")
     lent = scratch.table(lent.dropDuplicates(["digest"]), "lent", "none")
@@ -237,6 +287,10 @@ def read_features(store: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store the payloads of ``docs`` and return, per row, what reads back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Empty tables are fine."""
+    """Store the payloads of ``docs`` and return, per row, what reads back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    A null text is an empty one, 64 bytes 0. Rows that repeat an id, or id and text, each give a row; null ids stay null. A text of any length is stored whole.
+    Other columns of ``docs`` are not looked at. An empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession, "media")
     return read_features(build_store(docs, scratch, id_col, text_col), scratch)
