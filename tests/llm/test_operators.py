@@ -124,11 +124,10 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(1)
-    texts = [None, "", "a", "<|endoftext|> x", "é" * 50, prose(rng, 3000), *[prose(rng, rng.randrange(1, 700)) for _ in range(150)]]
-    texts += [texts[10]] * 20
+    texts = [None, "", "a", "<|endoftext|> x", "a<|endoftext|>b<|endoftext|>", "é" * 50, prose(rng, 3000), *[prose(rng, rng.randrange(1, 700)) for _ in range(150)]]
+    texts += [texts[11]] * 20
     rows = docs(spark, texts, extra=True)
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     out = packing.pack(rows, block=60).collect()
     at = {}
     for r in sorted(out, key=lambda r: (r["doc_id"], r["piece"])):
@@ -167,6 +166,26 @@ def test_genetic_operators():
     assert packing.unflat(packing.flat(best, 400)) is not None
 
 
+@pytest.mark.parametrize("name", ["middling", "triplets"])
+def test_the_search_beats_its_best_fit_seed(name):
+    """Lengths that leave best fit far above the lower bound."""
+    rng = random.Random(3)
+    if name == "middling":
+        sizes = [rng.randrange(200, 500) for _ in range(600)]
+    else:  # three of which fill a sequence
+        sizes = []
+        for _ in range(60):
+            a, b = rng.randrange(256, 512), rng.randrange(256, 412)
+            sizes += [a, b, 1024 - a - b]
+    seed = packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1024)
+    found = packing.search([], sizes, 1024, packing.GENERATIONS, packing.POPULATION, random.Random(0))[0]
+    for e in range(1, packing.EPOCHS):
+        found = packing.search([packing.flat(found, len(sizes))], sizes, 1024, packing.GENERATIONS, packing.POPULATION, random.Random(e))[0]
+    assert sorted(i for x in found for i in x) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in x) <= 1024 for x in found)
+    assert -(-sum(sizes) // 1024) <= len(found) < len(seed)
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 Texts are tokenised once, map-side, into pieces of at most ``capacity`` ids; only the pieces' lengths and checksums move.
 Pieces are dealt by hash into blocks of about ``BLOCK`` pieces, so that work grows in proportion to the input and no task
 holds more than a block. Each block is packed on several islands, rows of one table that any executor can take: an island
-evolves packings whose genes are whole bins (Falkenauer's grouping genetic algorithm), and between the epochs each island's
-elite is sent on to the next island by a join. The best packing of each block gives the sequences.
+evolves packings whose genes are whole bins (Falkenauer's grouping genetic algorithm with replacement), and between the epochs each
+island's elite is sent on to the next island by a join. Bins that best fit has filled to the last place are closed beforehand, so that
+the search spends its time on the rest. The best packing of each block gives the sequences.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import base64
 import math
 import random
 import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,9 @@ from threadlake.session import Scratch
 
 BLOCK = 3072
 ROWS_PER_TASK = 6  # islands that a task evolves; their rows are so small that Spark would put them all in one task
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 4, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 3, 5, 6
+OPEN = 400  # pieces of a block that the search moves at least
+SPECIAL = {"<|endoftext|>": 50256}  # the only one of byte_bpe_50k.json; the rank file has none
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,13 +38,13 @@ def default_vocabulary() -> str:
 
 
 def encoder(ranks_path: str):
-    """The byte-level BPE of byte_bpe_50k.json from the same vocabulary's rank file; the strings of special tokens are ordinary text."""
+    """The byte-level BPE of byte_bpe_50k.json from the same vocabulary's rank file, which gives the same ids faster; ``SPECIAL`` are the same special tokens."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def _cutter(capacity: int, end_id: int, ranks_path: str):
@@ -50,10 +54,7 @@ def _cutter(capacity: int, end_id: int, ranks_path: str):
             for at in range(0, batch.num_rows, 256):
                 rows = []
                 for doc, text in zip(batch.column(0)[at : at + 256].to_pylist(), batch.column(1)[at : at + 256].to_pylist(), strict=True):
-                    try:
-                        ids = enc.encode_to_numpy(text or "", disallowed_special=())
-                    except UnicodeEncodeError:
-                        ids = np.array(enc.encode_ordinary(text), np.uint32)
+                    ids = enc.encode_to_numpy(text or "", allowed_special="all")
                     ids = np.append(ids.astype("<u4"), np.uint32(end_id)).astype("<u4")
                     n = len(ids)
                     count = -(-n // capacity)
@@ -116,24 +117,69 @@ def best_fit(order: list[int], sizes: list[int], capacity: int) -> list[list[int
     return fit.bins
 
 
+def improve(bins: list[list[int]], displaced: list[int], sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Fill bins better with displaced documents: in each, one document gives way to the largest displaced one that fits in its place, or
+    two to one, or one to two. What is left over is smaller and so easier to place (Falkenauer's replacement)."""
+    waiting = sorted((sizes[i], i) for i in displaced)
+    out = []
+    for x in bins:
+        fill = sum(sizes[i] for i in x)
+        x, tries = list(x), 0
+        while fill < capacity and waiting and tries < 4:
+            tries += 1
+            room, best = capacity - fill, (0, None, None)
+            for k, i in enumerate(x):  # one for one
+                at = bisect_left(waiting, (sizes[i] + room + 1,)) - 1
+                gain = waiting[at][0] - sizes[i] if at >= 0 else 0
+                if gain > best[0]:
+                    best = (gain, [k], [at])
+                if gain < room and len(waiting) > 1 and sizes[i] > 2:  # one for two: a large one and the best beside it
+                    for big in {at, at // 2}:
+                        if big >= 0:
+                            other = bisect_left(waiting, (sizes[i] + room - waiting[big][0] + 1,)) - 1
+                            other = other - 1 if other == big else other
+                            if other >= 0 and other != big and waiting[big][0] + waiting[other][0] - sizes[i] > best[0] and waiting[big][0] + waiting[other][0] - sizes[i] <= room:
+                                best = (waiting[big][0] + waiting[other][0] - sizes[i], [k], sorted((big, other)))
+                for k2 in range(k + 1, min(len(x), 6)):  # two for one
+                    both = sizes[i] + sizes[x[k2]]
+                    at = bisect_left(waiting, (both + room + 1,)) - 1
+                    if at >= 0 and waiting[at][0] - both > best[0]:
+                        best = (waiting[at][0] - both, [k, k2], [at])
+            if best[1] is None:
+                break
+            came = [waiting[at][1] for at in best[2]]
+            for at in reversed(best[2]):
+                waiting.pop(at)
+            went = [x[k] for k in best[1]]
+            x = [i for k, i in enumerate(x) if k not in best[1]] + came
+            for i in went:
+                insort(waiting, (sizes[i], i))
+            fill += best[0]
+        out.append(x)
+    return out, [i for _, i in waiting]
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Inject whole well-filled bins of ``b`` into ``a``: bins of ``a`` that share a document with them go, and the documents so displaced are best-fitted, longest first."""
+    """Inject whole well-filled bins of ``b`` into ``a``: bins of ``a`` that share a document with them go, some of the worst filled are dissolved (mutation), and
+    the documents so displaced first replace others where that fills a bin better and are then best-fitted, longest first."""
     fill = [sum(sizes[i] for i in x) for x in b]
     well = [x for x, f in zip(b, fill, strict=True) if f >= 0.98 * capacity and len(x) > 1]
-    chosen = rng.sample(well, max(1, len(well) // 3)) if well else []
+    chosen = rng.sample(well, max(1, int(len(well) * rng.uniform(0.1, 0.5)))) if well else []
     inside = {i for x in chosen for i in x}
-    fit, displaced = BestFit(capacity), []
-    for x in chosen:
-        fit.open(list(x), capacity - sum(sizes[i] for i in x))
+    whole, displaced = [list(x) for x in chosen], []
     worst = rng.random() * 0.1
     for x in a:
         f = sum(sizes[i] for i in x)
         if not inside.isdisjoint(x):
             displaced += [i for i in x if i not in inside]
-        elif f < capacity and rng.random() < worst + (capacity - f) / capacity:  # mutation: poorly filled bins are dissolved
+        elif f < capacity and rng.random() < worst + 2 * (capacity - f) / capacity:
             displaced += x
         else:
-            fit.open(list(x), capacity - f)
+            whole.append(x)
+    whole, displaced = improve(whole, displaced, sizes, capacity)
+    fit = BestFit(capacity)
+    for x in whole:
+        fit.open(x, capacity - sum(sizes[i] for i in x))
     displaced.sort(key=lambda i: -sizes[i])
     for i in displaced:
         fit.put(i, sizes[i])
@@ -148,13 +194,39 @@ def evolve(population: list[list[list[int]]], sizes: list[int], capacity: int, g
         noise = 0 if not population else rng.random() * 0.2
         population.append(best_fit(sorted(order, key=lambda i: -sizes[i] * (1 + noise * (rng.random() - 0.5))) if noise else order, sizes, capacity))
     rank = lambda p: fitness(p, sizes, capacity)
-    population = sorted(population, key=rank)[:size]
+    ranked = sorted(((rank(p), n, p) for n, p in enumerate(population)))[:size]
+    count = len(population)
     for _ in range(generations):
-        if len(population[0]) <= least:
+        if not sizes or ranked[0][0][0] <= least:
             break
-        children = [crossover(population[min(rng.randrange(size), rng.randrange(size))], rng.choice(population), sizes, capacity, rng) for _ in range(max(1, size // 2))]
-        population = sorted(population + children, key=rank)[:size]
-    return population
+        for _ in range(max(1, size // 2)):
+            child = crossover(ranked[min(rng.randrange(size), rng.randrange(size))][2], rng.choice(ranked)[2], sizes, capacity, rng)
+            count += 1
+            ranked.append((rank(child), count, child))
+        ranked = sorted(ranked)[:size]
+    return [p for _, _, p in ranked]
+
+
+def closed(sizes: list[int], capacity: int, free: int = OPEN) -> list[list[int]]:
+    """Bins of the best-fit packing that are full to the last place, but for some so that at least ``free`` pieces stay in play. The same on every island."""
+    bins = best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, capacity)
+    full = [x for x in bins if sum(sizes[i] for i in x) == capacity]
+    full.sort(key=lambda x: (len(x), x))  # single pieces first, which nothing can improve
+    left = len(sizes) - sum(map(len, full))
+    while full and left < free and len(full[-1]) > 1:
+        left += len(full.pop())
+    return full
+
+
+def search(elites: list[list[int]], sizes: list[int], capacity: int, generations: int, size: int, rng: random.Random) -> list[list[list[int]]]:
+    """``evolve`` over the pieces outside closed bins; ``elites`` and the result are packings of all pieces, the closed bins first."""
+    full = closed(sizes, capacity)
+    inside = {i for x in full for i in x}
+    open_ = [i for i in range(len(sizes)) if i not in inside]
+    name = {i: n for n, i in enumerate(open_)}
+    population = [[[name[i] for i in x] for x in unflat(e) if x[0] not in inside] for e in elites]
+    found = evolve(population, [sizes[i] for i in open_], capacity, generations, size, rng)
+    return [[*full, *([open_[n] for n in x] for x in p)] for p in found]
 
 
 def flat(bins: list[list[int]], n: int) -> list[int]:
@@ -182,8 +254,7 @@ def _epoch(epoch: int, capacity: int, generations: int, size: int):
             for r in batch.to_pylist():
                 rng = random.Random(f"{r['block']} {r['island']} {epoch}")
                 sizes = r["sizes"]
-                own = [unflat(x) for x in r["elite"] or []]
-                found = evolve(own, sizes, capacity, generations, size, rng)
+                found = search(r["elite"] or [], sizes, capacity, generations, size, rng)
                 bins, fill = fitness(found[0], sizes, capacity)
                 out.append({"block": r["block"], "island": r["island"], "sizes": sizes, "elite": [flat(x, len(sizes)) for x in found[:2]], "bins": bins, "fill": fill})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int32())), ("elite", pa.list_(pa.list_(pa.int32()))), ("bins", pa.int32()), ("fill", pa.float64())]))
