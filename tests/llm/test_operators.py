@@ -245,6 +245,36 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)[1]
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_links_that_miss_the_centre(spark, monkeypatch, broadcast):
+    """A base and variants of it, edited so that most miss the base's threshold but many meet among each other at 0.85 to 0.9; found in blocks, across blocks, and with ids joined by a shuffle."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", broadcast)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(3):
+        base = prose(rng, 300)
+        for _ in range(25):
+            far = edited(rng, base, rng.randrange(9, 14))
+            texts += [far, edited(rng, far, rng.randrange(3, 5))]
+    rng.shuffle(texts)
+    sets, want = brute_components(texts)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 85 <= 100 * len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 90]
+    assert len(pairs) > 30 and len(set(want)) > 3
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert sum(got[i] == got[j] for i, j in pairs) == len(pairs)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_texts_under_one_id(spark):
+    """Each row gets its own set's group, whatever else its id holds; rows that repeat id and text count once."""
+    rng = random.Random(13)
+    a, b = prose(rng, 100), prose(rng, 100)
+    rows = [(5, a), (5, b), (2, edited(rng, a, 1)), (3, edited(rng, b, 1)), (5, b), (5, b), (7, "")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(2, 2), (3, 3), (5, 2), (5, 3), (5, 3), (5, 3), (7, 7)]
+
+
 def test_low_bytes_alone_do_not_make_a_common_band():
     """Band 0 agrees in the signatures' low bytes only, so that the two meet in band 1 first."""
     import numpy as np

@@ -1,12 +1,13 @@
 """MinHash near-duplicate grouping by SuperMinHash signatures.
 
 1. Every text becomes its set of five-word shingles, a SuperMinHash signature and band keys (one scan, map-side).
-2. Equal sets are grouped first, so that copies cost one row each and never meet as pairs.
-3. In each bucket of equal band keys the least document is the centre; each other member is checked against it on whole
+2. Equal sets are grouped first, so that copies cost one row each and never meet as pairs. Each distinct set is a node of its own.
+3. In each bucket of equal band keys the least node is the centre; each other member is checked against it on whole
    sets, and union-find (distributed star contraction) groups the confirmed links.
-4. A bucket whose members are then still in different groups may hold links that missed its centre. Blocks of such a
-   bucket compare whole signatures; what may reach the threshold (within five standard deviations of SuperMinHash, so
-   less than one in a million true links is lost) and crosses groups is checked on whole sets as well.
+4. A bucket whose members are then still in different groups may hold links that missed its centre. First each block of such a bucket
+   compares its own members (work in proportion to the bucket) and the groups are joined again; then, in buckets of several blocks,
+   the members outside the bucket's largest group are compared with all others. Whole signatures are compared, and what may reach the threshold
+   (within five standard deviations of SuperMinHash, so less than one in a million true links is lost) is checked on whole sets as well.
 
 Nothing is capped: a bucket of any size is dealt with in blocks of bounded size.
 """
@@ -30,8 +31,8 @@ ROWS = 7  # places of a band
 MISS = 1e-6  # chance that a pair at the threshold shares no band
 BLOCK = 1024  # members of a bucket that one task compares with as many others
 SALTS = 16
-BROADCAST_IDS = 1_000_000  # ids sent to all executors at most (8 MB); more are joined by a shuffle
-SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
+BROADCAST_IDS = 500_000  # rows of three numbers sent to all executors at most (12 MB); more are joined by a shuffle
+SKETCH = "doc_id long, n_shingles long, set_key binary, text_key long, bands array<long>, sig binary"
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -68,7 +69,8 @@ def _sketcher(percent: int, k: int):
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 128):
                 some = ids[at : at + 128]
-                sets = [shingle_set(t, k) for t in texts[at : at + 128].to_pylist()]
+                raw = texts[at : at + 128].to_pylist()
+                sets = [shingle_set(t, k) for t in raw]
                 full = [s for s in sets if len(s)]
                 sig = hasher.signatures(full)
                 keys, low = band_keys(sig, bands).view(np.int64), (sig & U(255)).astype(np.uint8)
@@ -79,10 +81,11 @@ def _sketcher(percent: int, k: int):
                         some.cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
+                        batch.column(2)[at : at + 128],
                         pa.array([None if w is None else keys[w] for w in which], pa.list_(pa.int64())),
                         pa.array([None if w is None else low[w].tobytes() for w in which], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands", "sig"],
+                    ["doc_id", "n_shingles", "set_key", "text_key", "bands", "sig"],
                 )
 
     return run
@@ -119,25 +122,24 @@ def _verify(edges: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFra
 
 
 def _comparer(percent: int):
-    """Pairs of a block of a bucket, of different groups, whose signatures may reach the threshold."""
+    """Pairs of a block, of different groups, whose signatures may reach the threshold. ``members`` are compared with each other, or, where
+    some have ``left``, those with all others."""
 
     def run(batches):
         for batch in batches:
             out_a, out_b = [], []
             for row in batch.to_pylist():
                 part = row["members"]
-                i, j = row["i"], row["j"]
                 ids = np.array([m["id"] for m in part], np.int64)
                 group = np.array([m["component"] for m in part], np.int64)
-                block = np.array([m["block"] for m in part], np.int64)
                 size = np.array([m["n"] for m in part], np.int64)
                 bands = np.array([m["bands"] for m in part], np.int64)
+                left = np.array([m.get("left") for m in part], bool)
                 sig = np.frombuffer(b"".join(m["sig"] for m in part), np.uint8).reshape(len(part), -1)
-                left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
                 floor = np.array([agreement_floor(sig.shape[1], int(2 ** math.ceil(math.log2(max(1, n)))), percent) for n in size])
-                for x in left:
-                    y = right[(ids[right] > ids[x]) | (i != j)]
-                    y = y[(group[y] != group[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+                for x in np.flatnonzero(left) if left.any() else range(len(part)):
+                    y = np.flatnonzero((group != group[x]) & ~(left & (ids <= ids[x])) & (left[x] | (ids > ids[x])))
+                    y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
                     y = y[(sig[y] == sig[x]).sum(axis=1) >= np.minimum(floor[y], floor[x])]
                     # a pair that meets in several bands is told of in the first, by the keys that make buckets: signatures here have low bytes only
                     y = y[(bands[y] == bands[x]).argmax(axis=1) == row["band"]]
@@ -148,6 +150,42 @@ def _comparer(percent: int):
     return run
 
 
+def _blocks(of: str):
+    """How many blocks of at most ``BLOCK`` members on average a column's number of members makes, and a member's own."""
+    count = F.ceil(F.col(of) / BLOCK).cast("long")
+    return count, F.pmod(F.xxhash64("id", F.lit(of)), count)
+
+
+def _with_groups(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of the buckets that hold several groups, with their group."""
+    now = members.where("size > 2").join(groups, "id", "left").select("key", "band", "id", "size", F.coalesce("component", "id").alias("component"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return now.join(mixed, "key", "left_semi")
+
+
+def _within_blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """One row per block of each bucket, each member in one."""
+    item = F.struct("id", "component", "n", "bands", "sig", F.lit(False).alias("left"))
+    full = members.join(reps, "id").withColumn("i", _blocks("size")[1])
+    return full.groupBy("key", "band", "i").agg(F.collect_list(item).alias("members")).select("key", "band", "members")
+
+
+def _across_blocks(members: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per block of the members outside a bucket's largest group and block of all its members, for buckets of several blocks.
+    The work grows with those outside times the bucket, not with its square."""
+    some = scratch.table(members.where(F.col("size") > BLOCK), "several")
+    sizes = some.groupBy("key", "component").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), (F.sum("c") - F.max("c")).alias("outside"))
+    full = some.join(most, "key").join(reps, "id")
+    (n_left, own_left), (n_all, own_all) = _blocks("outside"), _blocks("size")
+    out = full.withColumn("is_left", F.col("component") != F.col("largest"))
+    item = lambda left: F.struct("id", "component", "n", "bands", "sig", F.lit(left).alias("left"))
+    lefts = out.where("is_left").select("key", "band", own_left.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_all - 1)).alias("j"), item(True).alias("m"))
+    # a left member of the same block pair is dealt once: as a left one
+    rest = out.select("key", "band", F.explode(F.sequence(F.lit(0).cast("long"), n_left - 1)).alias("i"), own_all.alias("j"), F.when(F.col("is_left"), own_left).alias("own"), item(False).alias("m")).where("own IS NULL OR own <> i").drop("own")
+    return lefts.unionByName(rest).groupBy("key", "band", "i", "j").agg(F.collect_list("m").alias("members")).select("key", "band", "members")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``, which may have any other columns.
 
@@ -159,46 +197,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))  # tells texts under one id apart
     sketch = scratch.table(rows.mapInArrow(_sketcher(percent, k), SKETCH), "sketch")
 
     some = sketch.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     own = scratch.table(some.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "sets")
     firsts = some.join(own.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
-    reps = scratch.table(firsts.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sig"), "reps")
-
-    # buckets: band number and key in one, the members dealt once
-    member = reps.select("id", F.posexplode("bands").alias("band", "key")).select("id", "band", F.xxhash64("band", "key").alias("key"))
-    dealt = member.repartition("key")
-    size = dealt.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    members = scratch.table(dealt.join(size, "key").select("key", "band", "id", "centre", "size"), "members")
+    # a node per distinct set: ids do not serve, as one may have several sets. Numbered in the written table, so that they stay
+    nodes = scratch.table(firsts.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").alias("rep"), "set_key", "text_key", "n_shingles", "bands", "sig"), "nodes")
+    reps = nodes.select("id", F.col("n_shingles").alias("n"), "bands", "sig")
+
+    # buckets: band number and key in one; sizes are counted map-side, and a key that many nodes share is split by adaptive execution in the join
+    member = nodes.select("id", F.posexplode("bands").alias("band", "key")).select("id", "band", F.xxhash64("band", "key").alias("key"))
+    size = member.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1")
+    members = scratch.table(member.join(size, "key").select("key", "band", "id", "centre", "size"), "members")
     edges = scratch.table(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "edges")
 
-    wanted = scratch.table(members.select("id").distinct(), "wanted")
+    wanted = scratch.table(nodes.join(members.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("node"), F.col("rep").alias("id"), "text_key"), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    kept_texts = rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(_pack, "id long, z binary")
+    wanted = F.broadcast(wanted) if few else wanted
+    kept_texts = rows.join(wanted, ["id", "text_key"]).select(F.col("node").alias("id"), "text").mapInArrow(_pack, "id long, z binary")
     texts = scratch.table(kept_texts, "texts", "none")
+    if texts.groupBy("id").count().where("count > 1").limit(1).count():  # rows that repeat id and text
+        texts = scratch.table(texts.groupBy("id").agg(F.min("z").alias("z")), "texts-once", "none")
 
     links = scratch.table(_verify(edges, texts, percent, k), "links")
     groups = scratch.table(connected_components(links, "a", "b", scratch), "groups")
-
-    now = members.where("size > 2").join(groups, "id", "left").select("key", "band", "id", "size", F.coalesce("component", "id").alias("component"))
-    now = scratch.table(now, "now")
-    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = now.join(mixed, "key", "left_semi").join(reps.select("id", "bands", "sig", F.col("n_shingles").alias("n")), "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    block = F.pmod(F.xxhash64("id"), blocks)
-    dealt = (
-        open_.withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .groupBy("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .agg(F.collect_list(F.struct("id", "component", "block", "n", "bands", "sig")).alias("members"))
-    )
-    maybe = dealt.mapInArrow(_comparer(percent), "a long, b long").join(edges, ["a", "b"], "left_anti")
-    maybe = scratch.table(maybe, "maybe")
-    more = scratch.table(_verify(maybe, texts, percent, k), "more")
-    if more.limit(1).count():
-        groups = scratch.table(connected_components(links.unionByName(more), "a", "b", scratch), "all-groups")
-    named = own.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    told = edges
+    for name, dealt in (("within", lambda m: _within_blocks(m, reps)), ("across", lambda m: _across_blocks(m, reps, scratch))):
+        open_ = scratch.table(_with_groups(members if name == "within" else members.where(F.col("size") > BLOCK), groups), f"open-{name}")
+        if not open_.limit(1).count():
+            continue
+        maybe = scratch.table(dealt(open_).mapInArrow(_comparer(percent), "a long, b long").distinct().join(told, ["a", "b"], "left_anti"), f"maybe-{name}")
+        more = scratch.table(_verify(maybe, texts, percent, k), f"more-{name}")
+        told = told.unionByName(maybe)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            groups = scratch.table(connected_components(links, "a", "b", scratch), f"groups-{name}")
+    placed = nodes.select("id", "set_key", "rep").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = scratch.table(placed.join(least, "component").select("set_key", "component_id"), "named")
 
     # copies of one set may be a third of all rows: salted
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
@@ -210,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, all columns as they were. Rows with a null id stay, and an id
-    that rows repeat goes only where none of its rows is kept."""
+    that rows repeat goes only where none of its rows is kept. Null and empty texts stay; an empty table gives an empty result."""
     found = near_duplicates(docs, id_col, **options)
     gone = found.groupBy(F.col("doc_id").alias(id_col)).agg(F.bool_or("kept").alias("kept")).where("not kept").select(id_col)
     return docs.join(gone, id_col, "left_anti")
