@@ -343,6 +343,28 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(again).count() == 2 * len(texts)
 
 
+def test_line_dedup_leaves_columns_of_its_own_names(spark):
+    line = "a line that stands in all of the documents, and is long enough"
+    rows = docs(spark, [f"{line}\n{i}" for i in range(6)])
+    for c in ("_lines", "_dropped", "_gone", "_kept", "_doc", "hi", "lo", "salt", "doc"):
+        rows = rows.withColumn(c, F.lit("mine"))
+    out = line_dedup.dedup_lines(rows)
+    assert set(out.columns) == {*rows.columns, "_lines_", "_dropped_"}
+    got = out.collect()
+    assert all(r[c] == "mine" for r in got for c in ("_lines", "_dropped", "_gone", "_kept", "_doc", "hi", "lo", "salt", "doc"))
+    assert sorted((r["doc_id"], r["_lines_"], r["_dropped_"]) for r in got) == [(i, 2, int(i < 5)) for i in range(6)]
+
+
+def test_the_anti_join_decides_what_a_run_has(spark):
+    runs = line_dedup.Runs(Scratch(spark, "t"), fan=9)
+    for b in range(3):
+        runs.add(spark.createDataFrame([(k, 0, 10 * b + k) for k in range(b, b + 3)], "hi long, lo int, doc long"))
+    assert [sorted(r["hi"] for r in run.collect()) for run in runs.runs()] == [[0, 1, 2], [3], [4]]
+    plan = runs.runs()[0].hint("merge").join(runs.runs()[1].hint("merge"), ["hi", "lo"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # as the runs lie
+    runs.drop()
+
+
 def test_runs_compact(spark):
     scratch = Scratch(spark, "t")
     runs = line_dedup.Runs(scratch, fan=2)
@@ -350,6 +372,7 @@ def test_runs_compact(spark):
         runs.add(spark.createDataFrame([(k, 0, 10 * b + k) for k in range(b, b + 3)], "hi long, lo int, doc long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     got = {r["hi"]: (r["n_docs"], r["last_doc"]) for r in runs.merged(runs.all()).collect()}
+    assert {r["hi"]: (r["n_docs"], r["last_doc"]) for r in runs.totals().collect()} == got
     assert got == {0: (1, 0), 1: (2, 11), 2: (3, 22), 3: (3, 33), 4: (3, 44), 5: (2, 45), 6: (1, 46)}
 
 
@@ -441,8 +464,8 @@ def test_decontamination(spark):
     texts.append(" ".join([items[1]] * 500))
     rows = docs(spark, texts, extra=True)
     bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
-    for limit in (10**6, 3):  # broadcast, and joined by a shuffle
-        got = {r["id"]: r for r in decontam.scan(rows, bench, broadcast_limit=limit).collect()}
+    for limit, hashes in ((3, 3), (3, 10**6), (10**6, 3)):  # joined by a shuffle, by a broadcast of hashes, and looked up in the plan
+        got = {r["id"]: r for r in decontam.scan(rows, bench, broadcast_limit=limit, hash_limit=hashes).collect()}
         for i, t in enumerate(texts):
             w = split(t)
             hit, ids = set(), set()
@@ -466,6 +489,23 @@ def test_decontamination(spark):
     assert {r["n_words"] for r in decontam.scan(rows.limit(2), bench.limit(0)).collect()} == {0}
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Clashing names stay, null and repeated ids go as one document, and drop_spans keeps other columns."""
+    item = "one two three four five six seven eight"
+    rows = spark.createDataFrame([(None, item), (None, "fine"), (1, item), (1, "fine too"), (2, None), (3, "clean")], "doc_id long, text string")
+    for c in ("_id", "_hits", "id", "w", "items", "hash"):
+        rows = rows.withColumn(c, F.lit("mine"))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontam.drop_contaminated(rows, bench, at_least=1)
+    assert left.columns == rows.columns and sorted(r["doc_id"] for r in left.collect()) == [2, 3]
+    for limit in (10**6, 0):
+        cut = decontam.drop_spans(rows, bench, broadcast_limit=limit)
+        assert set(cut.columns) == set(rows.columns) and {r["_hits"] for r in cut.collect()} == {"mine"}
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in cut.collect()) == [(0, ""), (0, ""), (1, ""), (1, ""), (2, ""), (3, "clean")]
+    assert decontam.drop_contaminated(rows, bench.limit(0), at_least=1).count() == 6
+    assert decontam.drop_contaminated(rows.limit(0), bench).count() == 0
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
