@@ -43,6 +43,7 @@ CLEAN = 3  # sentences that a clean document puts forward in a round at most
 TOXIC, LEVEL = 4, 0.95  # the same of a toxic one, and the share of clean ones that all but its first are worse than
 INSERTED = 4  # variants of a toxic sentence with a letter inserted
 COST, BALANCE = 10.0, 1.0  # of an error, and of all toxic sentences' errors to all clean ones'
+FALSE_ALARMS = 0.002
 SPREAD = 32  # tasks that the sample is dealt to
 MAX_LABELLED = 12_000  # labelled rows that the classifier is fitted on at most
 BLOCK_CHARS = 1_000_000
@@ -391,10 +392,12 @@ class Learner:
 
     def calibrate(self, score: np.ndarray, y: np.ndarray, bad: Counter[bytes]) -> None:
         """Platt's curve through the scores of labelled documents and of single toxic sentences, inserted letters and all, which weigh as much as the toxic
-        documents: else it would ask for as much as documents with many insults have."""
+        documents: else it would ask for as much as documents with many insults have. At most ``FALSE_ALARMS`` of the clean documents may reach 0.5."""
         alone = self.model.word_scores([np.frombuffer(w, np.uint8) for w in bad])
         weight = np.array(list(bad.values()), float) * (y.sum() / max(1, sum(bad.values())))
-        self.model.slope, self.model.offset = platt(np.r_[score, alone], np.r_[y, np.ones(len(alone))], np.r_[np.ones(len(score)), weight])
+        slope, offset = platt(np.r_[score, alone], np.r_[y, np.ones(len(alone))], np.r_[np.ones(len(score)), weight])
+        most = float(np.quantile(score[y == 0], 1 - FALSE_ALARMS, method="higher"))
+        self.model.slope, self.model.offset = slope, min(offset, -slope * most - 0.05)
 
 
 def _worst(shared, seed: str):
