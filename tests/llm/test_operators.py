@@ -86,6 +86,38 @@ def test_license_scan(spark):
     assert right >= 0.8 * len(other)
 
 
+def test_license_probabilities_against_brute_force(spark):
+    """Every line with a letter is scored, with or without a cue, as the regression's own weights say."""
+    import numpy as np
+    from pyspark.ml.feature import HashingTF
+
+    model = license_scan.train(spark)
+    lines = ["GPL-3.0-or-later", "Apache-2.0", "SPDX-License-Identifier: MIT", "This work is released under CC0 1.0 Universal.", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND", "plain words of no note", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"]
+    tf, weights, bias = HashingTF(numFeatures=license_scan.FEATURES), model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    want = {}
+    for i, line in enumerate(lines):
+        words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"[0-9]+(\.[0-9]+)*", "0", line.lower())) if w]
+        at = sorted({tf.indexOf(g) for g in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]})
+        z = weights[:, at].sum(axis=1) + bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        k = int(np.argmax(p[:-1]))
+        if p[k] >= model.threshold:
+            want[i] = (model.families[k], round(float(p[k]), 6))
+    got = {r["doc_id"]: (r["family"], r["probability"]) for r in license_scan.scan(docs(spark, lines), model).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {i: f for i, (f, _) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-5 for i in want)
+    assert {i: want[i][0] for i in (0, 1, 2, 3, 6)} == {0: "gpl", 1: "apache", 2: "mit", 3: "cc0", 6: "isc"} and 5 not in want
+
+
+def test_license_of_odd_rows(spark):
+    rows = [(None, "Released under the MIT License."), (None, None), (1, "Licensed under CC BY 4.0."), (1, ""), (2, None)]
+    rows = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, family string")
+    found = license_scan.scan(rows)
+    got = sorted((r["doc_id"] or 0, r["n_licences"], r["licence"]) for r in license_scan.by_document(rows, found).collect())
+    assert got == [(0, 1, "mit"), (0, 1, "mit"), (1, 1, "cc-by"), (1, 1, "cc-by"), (2, 0, "unknown")]
+    assert license_scan.by_document(rows.limit(0), found).count() == 0
+
+
 def test_license_cues_cover_templates():
     for texts in license_scan.TEMPLATES.values():
         assert all(re.search(license_scan.CUES, t) for t in texts)
