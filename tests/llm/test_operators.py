@@ -94,10 +94,12 @@ def test_license_probabilities_against_brute_force(spark):
     model = license_scan.train(spark)
     lines = ["GPL-3.0-or-later", "Apache-2.0", "SPDX-License-Identifier: MIT", "This work is released under CC0 1.0 Universal.", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND", "plain words of no note", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"]
     tf, weights, bias = HashingTF(numFeatures=license_scan.FEATURES), model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
-    want = {}
+    rng, known, want = random.Random(2), set(model.known), {}
+    vocabulary = sorted({w for g in known for w in g.split()})
+    lines += [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 12))) for _ in range(300)]  # some of which the bound leaves out
     for i, line in enumerate(lines):
         words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"[0-9]+(\.[0-9]+)*", "0", line.lower())) if w]
-        at = sorted({tf.indexOf(g) for g in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]})
+        at = sorted({tf.indexOf(g) for g in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))] if g in known})
         z = weights[:, at].sum(axis=1) + bias
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         k = int(np.argmax(p[:-1]))
