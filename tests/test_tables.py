@@ -84,19 +84,25 @@ def test_kappa_and_strata(spark):
 
 def test_limits():
     now = [0.0]
-    b = budget.Bucket(60, 60, lambda: now[0])
-    b.consume(60)
-    assert b.time_until(30) == 30
+    b = budget.Quota({"calls": 60}, 60, clock=lambda: now[0])
+    b.charge({"calls": 60})
+    assert b.delay({"calls": 30}) == 30
     now[0] = 30
-    assert b.available() == 30
-    b.consume(60)
-    assert b.time_until(1) == 31
+    assert b.holds("calls") == 30
+    b.charge({"calls": 60})
+    assert b.delay({"calls": 1}) == 31
     slept = []
-    lim = budget.Limiter(60, 100, 2, lambda: now[0], slept.append)
-    lim.acquire(100)
-    assert lim.acquire(50) == 30.0 and slept == [30.0]
+    lim = budget.Quota({"calls": 60, "tokens": 100}, per_day=2, clock=lambda: now[0], sleep=slept.append)
+    lim.enter(calls=1, tokens=100)
+    assert lim.enter(calls=1, tokens=50) == 30.0 and slept == [30.0]
     with pytest.raises(RuntimeError):
-        lim.acquire(1)
+        lim.enter(calls=1, tokens=1)
+    lim.correct("tokens", 50, 40)
+    assert lim.holds("tokens") == -50
+    lim.correct("tokens", 50, 60)
+    assert lim.holds("tokens") == -60
+    with pytest.raises(ValueError):
+        budget.Quota({"calls": 0})
     assert (budget.retry_delay(2, 503), budget.retry_delay(0, 429, 7.0), budget.retry_delay(0, 404)) == (4.0, 7.0, None)
 
 
@@ -110,6 +116,12 @@ def test_stream_of_records(spark, tmp_path):
     spark.createDataFrame([(1, "late", 0), (2, "new", 5)], schema).coalesce(1).write.mode("append").parquet(str(source))
     table.start(stream(), str(tmp_path / "c")).awaitTermination()
     assert {r["k"]: r["v"] for r in table.read(spark).collect()} == {1: "a", 2: "new"}
+    # after a restart another object goes on from what is there
+    spark.createDataFrame([(3, "c", 1)], schema).coalesce(1).write.mode("append").parquet(str(source))
+    again = LatestTable(str(tmp_path / "t"), schema, "k", "seq")
+    assert again.read(spark).count() == 2
+    again.start(stream(), str(tmp_path / "c")).awaitTermination()
+    assert {r["k"]: r["v"] for r in again.read(spark).collect()} == {1: "a", 2: "new", 3: "c"}
 
 
 def test_windowed_counts(spark):

@@ -49,7 +49,7 @@ def last_labelled(text: str) -> tuple[str | None, str | None, str | None]:
     for span in reversed(spans):
         try:
             found = json.loads(span)
-        except ValueError:
+        except (ValueError, RecursionError):  # nested too deeply to be read
             continue
         label = str(found.get("label", "")).strip()
         if label:

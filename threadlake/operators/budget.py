@@ -1,7 +1,8 @@
-"""Call budgets: minutes a provider needs (L4), token buckets (L3) and the retry schedule (L2) as plain functions."""
+"""Call budgets: minutes a provider needs (L4), allowances per time (L3) and the retry schedule (L2) as plain functions."""
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 
@@ -25,46 +26,47 @@ def retry_delay(attempt: int, status: int, retry_after: float | None = None) ->
     return retry_after if retry_after is not None else float(2**attempt)
 
 
-class Bucket:
-    """A token bucket that refills continuously; it may go into debt, which the next caller waits out."""
-
-    def __init__(self, capacity: float, per_seconds: float, clock: Callable[[], float] = time.monotonic):
-        if capacity <= 0:
-            raise ValueError("capacity must be positive")
-        self.capacity, self.rate, self.clock = float(capacity), capacity / per_seconds, clock
-        self.level, self.at = self.capacity, clock()
-
-    def available(self) -> float:
-        now = self.clock()
-        self.level, self.at = min(self.capacity, self.level + max(0.0, now - self.at) * self.rate), now
-        return self.level
-
-    def time_until(self, amount: float) -> float:
-        return max(0.0, (min(amount, self.capacity) - self.available()) / self.rate)
-
-    def consume(self, amount: float) -> None:
-        self.level = self.available() - min(amount, self.capacity)
-
-
-class Limiter:
-    """Calls and tokens per minute and calls per day; every attempt counts, retries too."""
-
-    def __init__(self, rpm: float, tpm: float, rpd: int | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.calls, self.tokens = Bucket(rpm, 60, clock), Bucket(tpm, 60, clock)
-        self.rpd, self.attempts, self.sleep = rpd, 0, sleep
-
-    def acquire(self, tokens: float) -> float:
-        if self.rpd is not None and self.attempts >= self.rpd:
-            raise RuntimeError("the day's quota is used up")
-        self.attempts += 1
-        wait = max(self.calls.time_until(1), self.tokens.time_until(tokens))
-        if wait:
-            self.sleep(wait)
-        self.calls.consume(1)
-        self.tokens.consume(tokens)
+def refilled(level: float, since: float, now: float, size: float, seconds: float) -> float:
+    """What an allowance of ``size`` per ``seconds`` holds at ``now``, if it held ``level`` at ``since``; a level below 0 is owed."""
+    return min(size, level + max(0.0, now - since) * size / seconds)
+
+
+class Quota:
+    """Several allowances that every attempt draws on at once, retries too: calls and tokens per minute, and attempts per day. Calls from several threads queue up."""
+
+    def __init__(self, limits: dict[str, float], seconds: float = 60.0, per_day: int | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        wrong = [name for name, size in limits.items() if size <= 0]
+        if wrong:
+            raise ValueError(f"limits that nothing can pass: {', '.join(wrong)}")
+        self.limits, self.seconds, self.clock, self.sleep = dict(limits), seconds, clock, sleep
+        self.left = per_day
+        self.held = {name: (float(size), clock()) for name, size in limits.items()}
+        self.lock = threading.Lock()
+
+    def holds(self, name: str) -> float:
+        return refilled(*self.held[name], self.clock(), self.limits[name], self.seconds)
+
+    def delay(self, amounts: dict[str, float]) -> float:
+        """Seconds until all amounts are there; more than a whole allowance is waited for as one."""
+        return max([0.0, *((min(x, self.limits[n]) - self.holds(n)) * self.seconds / self.limits[n] for n, x in amounts.items())])
+
+    def charge(self, amounts: dict[str, float]) -> None:
+        for name, x in amounts.items():
+            self.held[name] = (self.holds(name) - min(x, self.limits[name]), self.clock())
+
+    def enter(self, **amounts: float) -> float:
+        """Wait for the amounts, take them, and return the seconds waited."""
+        with self.lock:
+            if self.left == 0:
+                raise RuntimeError("no attempts left today")
+            self.left = None if self.left is None else self.left - 1
+            wait = self.delay(amounts)
+            if wait:
+                self.sleep(wait)
+            self.charge(amounts)
         return wait
 
-    def settle(self, estimated: float, used: float) -> None:
-        """Charge what was used beyond the estimate; an overestimate is not paid back."""
-        if used > estimated:
-            self.tokens.consume(used - estimated)
+    def correct(self, name: str, guessed: float, used: float) -> None:
+        """Charge what was used beyond the guess; what was guessed too much is not given back."""
+        with self.lock:
+            self.charge({name: max(0.0, used - guessed)})

@@ -17,7 +17,7 @@ from threadlake.operators.sampling import uniform
 
 SILHOUETTE_SAMPLE = 5000
 WEAK = 0.25
-STRICT_SUFFIX = "\n\nIMPORTANT: Output ONLY the raw JSON object."
+STRICT_SUFFIX = "\n\nThe last answer could not be read. Give the JSON object and nothing before or after it."
 
 
 def fit(vectors: DataFrame, k: int, seed: int, runs: int = 10, vec_col: str = "embedding") -> KMeansModel:

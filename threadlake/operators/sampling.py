@@ -53,3 +53,8 @@ def two_strata(pool: DataFrame, n_a: int = 100, n_b: int = 100, seed: int = 2026
     kind = dict(pool.dtypes)[id_col]
     b = pool.sparkSession.createDataFrame([(i, "B", why) for i, why in chosen.items()], f"{id_col} {kind}, stratum string, sample_reason string")
     return pool.join(F.broadcast(a.unionByName(b)), id_col)  # n_a + n_b rows
+
+
+def counts_by_reason(sample: DataFrame) -> DataFrame:
+    """A5: (stratum, sample_reason, n)."""
+    return sample.groupBy("stratum", "sample_reason").agg(F.count("*").alias("n"))

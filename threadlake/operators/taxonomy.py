@@ -13,19 +13,19 @@ SOURCES = ("cluster", "keyword")
 
 # The curated intents, with their tiers and shares.
 CURATED = [
-    ("praise_thanks", "Thanks or praise for service already received. Needs no resolution.", "cluster", "auto_ok", 0.200),
-    ("travel_excitement", "Anticipation about an upcoming flight or trip. No request made.", "cluster", "auto_ok", 0.101),
-    ("flight_disruption", "Delay, cancellation, missed connection, or tarmac wait.", "cluster", "review", 0.351),
-    ("service_complaint", "Frustration with staff conduct or lack of response, no specific request.", "cluster", "review", 0.181),
-    ("fees_and_charges", "Disputes a change fee, baggage fee, or unexpected charge.", "cluster", "review", 0.091),
-    ("baggage_issue", "Lost, delayed, or damaged bag, or a forced gate check.", "cluster", "review", 0.075),
-    ("refund_or_compensation", "Requests money back, a voucher, or compensation.", "keyword", "always_escalate", 0.031),
-    ("booking_change", "Wants to rebook, reschedule, or cancel a booking.", "keyword", "review", 0.048),
-    ("seat_or_upgrade", "Seat assignment, seat change, or upgrade request.", "keyword", "review", 0.081),
-    ("checkin_boarding", "Check-in failures, boarding pass problems, gate questions.", "keyword", "review", 0.083),
-    ("loyalty_miles", "Miles, elite status, or account questions.", "keyword", "review", 0.023),
-    ("accessibility_medical", "Wheelchair, medical need, or disability accommodation.", "keyword", "always_escalate", 0.005),
-    ("other", "Does not fit any intent above.", "cluster", "review", None),
+    ("praise_thanks", "The writer is pleased with what was done and asks for nothing.", "cluster", "auto_ok", 0.200),
+    ("travel_excitement", "Looking forward to a journey; nothing is asked for.", "cluster", "auto_ok", 0.101),
+    ("flight_disruption", "A flight is late, cancelled, held on the ground, or a connection was lost.", "cluster", "review", 0.351),
+    ("service_complaint", "Anger at how staff behave or that nobody answers, without a concrete wish.", "cluster", "review", 0.181),
+    ("fees_and_charges", "A charge for a change, a bag or something unforeseen is contested.", "cluster", "review", 0.091),
+    ("baggage_issue", "A bag is missing, late or broken, or had to be checked at the gate.", "cluster", "review", 0.075),
+    ("refund_or_compensation", "Money, a voucher or amends are asked for.", "keyword", "always_escalate", 0.031),
+    ("booking_change", "A booking is to be moved to another time or called off.", "keyword", "review", 0.048),
+    ("seat_or_upgrade", "About which seat one has, another seat or a better class.", "keyword", "review", 0.081),
+    ("checkin_boarding", "Check-in doesn't work, or a boarding pass or gate is in question.", "keyword", "review", 0.083),
+    ("loyalty_miles", "About points, status or the member's account.", "keyword", "review", 0.023),
+    ("accessibility_medical", "Help because of a disability, an illness or a wheelchair.", "keyword", "always_escalate", 0.005),
+    ("other", "None of the intents above.", "cluster", "review", None),
 ]
 
 
@@ -51,6 +51,19 @@ def violations(intents: DataFrame) -> DataFrame:
     return out
 
 
+def share_violations(intents: DataFrame, within: float = 0.02) -> DataFrame:
+    """(rule, detail) for wrong shares (V7-V9): one outside 0 to 1, cluster shares that don't sum to 1 within ``within``, as they are a partition, or an
+    intent other than ``other`` without one. Keyword shares overlap, so that their sum says nothing. Without shares at all nothing is wrong."""
+    share = F.col("approx_share")
+    given = intents.where(share.isNotNull())
+    total = given.where("source = 'cluster'").agg(F.round(F.sum("approx_share"), 6).alias("s"))
+    any_ = given.agg((F.count("*") > 0).alias("any"))  # one row
+    missing = intents.where(share.isNull() & (F.col("label") != "other")).crossJoin(F.broadcast(any_)).where("any")
+    rule = lambda name, rows, detail: rows.select(F.lit(name).alias("rule"), detail.cast("string").alias("detail"))
+    out = rule("share_out_of_range", given.where((share < 0) | (share > 1)), F.col("label"))
+    return out.unionByName(rule("cluster_shares_sum", total.where(F.abs(F.col("s") - 1) > within), F.col("s"))).unionByName(rule("no_share", missing, F.col("label")))
+
+
 def shares(intents: DataFrame) -> DataFrame:
     """(source, n, share) summed per source; cluster shares are a partition, keyword shares overlap."""
     return intents.groupBy("source").agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("approx_share"), F.lit(0.0)), 6).alias("share"))

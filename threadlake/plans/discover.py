@@ -14,7 +14,7 @@ from threadlake.operators.threads import first_turns
 from threadlake.session import Scratch
 from threadlake.sources.files import taxonomy_json
 
-PROMPT = "These {n} messages were grouped together by a clustering algorithm.\n\n{messages}\n\nReply with JSON only: a snake_case label of one to three words for what the customer wants, and a description of one sentence."
+PROMPT = "Below are {n} customer messages that lie close to each other in embedding space.\n\n{messages}\n\nWhat do their writers want? Answer as a JSON object with two strings: label, in snake_case and at most three words long, and description, a single sentence."
 
 
 def discover(messages: DataFrame, embed: Callable[[DataFrame], DataFrame], complete: Callable[[Column], Column], ks: list[int], seed: int = 0, sample: int | None = 15_000, k: int | None = None, shown: int = 12) -> dict[str, DataFrame]:

@@ -187,8 +187,9 @@ def token_estimate(spark, sf_dir):
 
 @query("SELECT conv_id, CAST(sum(CAST(floor(length(coalesce(text, '')) / CAST(3.6 AS DOUBLE)) AS INTEGER) + 5) AS INTEGER) AS tokens FROM conversations GROUP BY conv_id")
 def token_budget(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("messages"))
-    return c.select("conv_id", T.estimate_prompt_tokens(F.col("messages")).alias("tokens"))
+    # estimated per row and summed, so that no texts are shuffled
+    one = T.estimate_prompt_tokens(F.array(F.struct("role", F.col("text").alias("content"))))
+    return table(spark, sf_dir, "conversations").select("conv_id", one.alias("tokens")).groupBy("conv_id").agg(F.sum("tokens").cast("int").alias("tokens"))
 
 
 PROVIDERS = [("a", 30.0, 6000.0), ("b", 30.0, 30000.0), ("c", 60.0, 50000.0), ("d", 20.0, 100000.0)]
@@ -282,14 +283,14 @@ def l2_normalized(spark, sf_dir):
     return v.select("vec_id", F.posexplode("v").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
-_ASKED = f"(SELECT * FROM embeddings ORDER BY md5('{SEED}:' || vec_id), vec_id LIMIT 200)"
+_ASKED = "(SELECT * FROM embeddings WHERE vec_id % 20 = 0)"
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 _PAIRS = f"p AS (SELECT a.vec_id AS id, b.vec_id AS match_id, round({_COS}, 6) AS cosine FROM {_ASKED} a JOIN embeddings b ON a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, match_id) AS rank FROM p)"
 
 
 def _asked(spark, sf_dir) -> DataFrame:
-    """The golden set of the screen: a bounded, seeded sample."""
-    return sampling.uniform(table(spark, sf_dir, "embeddings"), 200, SEED, "vec_id")
+    """The query set of searches: every row whose id is divisible by 20, at any size."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0)
 
 
 @query(f"WITH {_PAIRS} SELECT id, match_id AS best_id, cosine FROM k WHERE rank = 1 AND cosine > 0.4")
@@ -328,6 +329,40 @@ def taxonomy_shares(spark, sf_dir):
     return taxonomy.shares(taxonomy.curated(spark))
 
 
-@query("SELECT rule, detail FROM (VALUES ('x', 'y')) t(rule, detail) WHERE false")
+# a taxonomy made of the events' types, with a fault of each kind planted by id
+_FAULTY = "CASE WHEN event_id = 1 THEN 'Bad Label' WHEN event_id IN (2, 3) THEN 'twice' ELSE 'intent_' || event_id END"
+
+
+def _faulty(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_id BETWEEN 1 AND 12")
+    return e.select(
+        F.expr(_FAULTY).alias("label"), F.col("event_type").alias("description"), F.expr("CASE WHEN event_id = 4 THEN 'guess' WHEN event_id <= 8 THEN 'cluster' ELSE 'keyword' END").alias("source"),
+        F.expr("CASE WHEN event_id = 5 THEN 'maybe' ELSE 'review' END").alias("risk_tier"), F.expr("CASE WHEN event_id = 6 THEN 1.5D WHEN event_id = 7 THEN NULL ELSE 0.1D END").alias("approx_share"), F.lit(None).cast("string").alias("note"),
+    )
+
+
+@query(f"""WITH t AS (SELECT {_FAULTY} AS label, CASE WHEN event_id = 4 THEN 'guess' WHEN event_id <= 8 THEN 'cluster' ELSE 'keyword' END AS source, CASE WHEN event_id = 5 THEN 'maybe' ELSE 'review' END AS tier FROM events WHERE event_id BETWEEN 1 AND 12)
+SELECT 'repeated_label' AS rule, label AS detail FROM t GROUP BY label HAVING count(*) > 1
+UNION ALL SELECT 'no_other', '0' WHERE NOT EXISTS (SELECT 1 FROM t WHERE label = 'other')
+UNION ALL SELECT 'not_snake_case', label FROM t WHERE NOT regexp_full_match(label, '[a-z][a-z0-9_]*')
+UNION ALL SELECT 'unknown_tier', label FROM t WHERE tier NOT IN ('auto_ok', 'review', 'always_escalate')
+UNION ALL SELECT 'unknown_source', label FROM t WHERE source NOT IN ('cluster', 'keyword')""")
 def taxonomy_validation(spark, sf_dir):
-    return taxonomy.violations(taxonomy.curated(spark))
+    return taxonomy.violations(_faulty(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id = 4 THEN 'guess' WHEN event_id <= 8 THEN 'cluster' ELSE 'keyword' END AS source, CASE WHEN event_id = 6 THEN 1.5 WHEN event_id = 7 THEN NULL ELSE 0.1 END::DOUBLE AS share FROM events WHERE event_id BETWEEN 1 AND 12)
+SELECT 'share_out_of_range' AS rule, 'intent_' || event_id AS detail FROM t WHERE share NOT BETWEEN 0 AND 1
+UNION ALL SELECT 'cluster_shares_sum', CAST(round(sum(share), 6) AS VARCHAR) FROM t WHERE source = 'cluster' HAVING abs(sum(share) - 1) > 0.02
+UNION ALL SELECT 'no_share', 'intent_' || event_id FROM t WHERE share IS NULL""")
+def taxonomy_share_rules(spark, sf_dir):
+    return taxonomy.share_violations(_faulty(spark, sf_dir))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id), doc_id) AS place FROM documents)
+SELECT 'a' AS stratum, count(*) AS n FROM d WHERE place <= 100 UNION ALL SELECT 'b', 100""")
+def sample_reason_totals(spark, sf_dir):
+    """A5: how many rows each reason drew, summed per stratum here so that SQL can say it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_scrubbed"))
+    by_reason = sampling.counts_by_reason(sampling.two_strata(d, 100, 100, SEED, "doc_id", patterns=PATTERNS))
+    return by_reason.groupBy(F.lower("stratum").alias("stratum")).agg(F.sum("n").alias("n"))

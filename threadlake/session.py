@@ -29,9 +29,11 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own, which is then set."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset in a local session (tests), one of our own, which is then set."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} is not set: on a cluster it has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="threadlake-")
         spark.conf.set(CHECKPOINT_CONF, root)
     return root.rstrip("/")

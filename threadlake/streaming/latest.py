@@ -9,18 +9,27 @@ from threadlake.operators.records import latest_per_key
 
 
 class LatestTable:
-    """A table of the latest record per key in the shared folder. Each micro-batch writes a whole new version and then points to it, so a batch that is run again after a failure gives the same version."""
+    """A table of the latest record per key in the shared folder. Each micro-batch writes a whole new version, which counts once it is complete, so a batch that is run again after a failure gives the same version. Epochs go on from the stream's checkpoint after a restart."""
 
     def __init__(self, path: str, schema: str, key: str, seq: str):
         self.path, self.schema, self.key, self.seq = path, schema, key, seq
         self.version: int | None = None
 
+    def _find(self, spark) -> None:
+        """The newest whole version in the folder: after a restart, and where another process has written since."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [f.getPath().getParent().getName() for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS")) or ()]
+        self.version = max((int(name.partition("=")[2]) for name in done), default=None)
+
     def read(self, spark) -> DataFrame:
+        self._find(spark)
         if self.version is None:
             return spark.createDataFrame([], self.schema)
         return spark.read.schema(self.schema).parquet(f"{self.path}/v={self.version}")
 
     def upsert(self, batch: DataFrame, epoch: int) -> None:
+        self._find(batch.sparkSession)
         if self.version is not None and epoch <= self.version:
             return
         every = self.read(batch.sparkSession).unionByName(batch)
