@@ -374,7 +374,7 @@ class Learner:
                 word = word[at : at + PIECE]
                 out.append((y, word.tobytes()))
                 if y and len(word) > 2:
-                    rng = random.Random(f"{seed} {i} {k}")
+                    rng = random.Random(seed.encode() + word.tobytes())  # not by place: rows come in any order
                     out += [(y, np.insert(word, rng.randrange(1, len(word)), rng.randrange(1, 27)).tobytes()) for _ in range(INSERTED)]
         return out
 
@@ -405,7 +405,7 @@ def _worst(shared, seed: str):
         for batch in batches:
             texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in blocks(texts):
-                out = shared.value.put_forward(texts[a:b], labels[a:b], f"{seed} {len(texts[a])}")
+                out = shared.value.put_forward(texts[a:b], labels[a:b], seed)
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int32()), pa.array([w for _, w in out], pa.binary())], ["y", "word"])
 
     return run
