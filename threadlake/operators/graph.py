@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from threadlake.session import Scratch
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each u has one v, and no vertex is on both sides."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out > 1 OR (out > 0 AND into > 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", scratch: Scratch | None = None) -> DataFrame:
@@ -27,8 +28,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
         .distinct()
     )
     e = scratch.table(e, "star-0")
-    seen, n = _fingerprint(e), 0
-    while seen[0]:
+    n = 0
+    while not _settled(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -36,12 +37,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = scratch.table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"star-{n + 1}")
-        now = _fingerprint(e)
         scratch.drop(f"large-{n}", f"star-{n}")
         n += 1
-        if now == seen:
-            break
-        seen = now
     roots = e.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
