@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +29,18 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
+@lru_cache(maxsize=1)
+def _own_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="threadlake-")
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset in a local session (tests), one of our own, which is then set."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset in a local session (tests), one of our own, the same as long as the process lives."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"{CHECKPOINT_CONF} is not set: on a cluster it has to name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="threadlake-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        root = _own_root()
     return root.rstrip("/")
 
 
