@@ -6,8 +6,8 @@
    sets, and union-find (distributed star contraction) groups the confirmed links.
 4. A bucket whose members are then still in different groups may hold links that missed its centre. First each block of such a bucket
    compares its own members (work in proportion to the bucket) and the groups are joined again; then, in buckets of several blocks,
-   the members outside the bucket's largest group are compared with all others. In either step each member first puts forward its best pair only (as in
-   Borůvka's spanning trees), so that most groups are one before all pairs that still cross groups are. Whole signatures are compared, and what may reach the threshold
+   the members outside the bucket's largest group are compared with all others. In either step each member first puts forward its best pair in one of its buckets only
+   (as in Borůvka's spanning trees), so that most groups are one before all pairs that still cross groups, in all buckets, are. Whole signatures are compared, and what may reach the threshold
    (within five standard deviations of SuperMinHash, so less than one in a million true links is lost) is checked on whole sets as well.
 
 Nothing is capped: a bucket of any size is dealt with in blocks of bounded size.
@@ -32,7 +32,7 @@ ROWS = 7  # places of a band
 MISS = 1e-6  # chance that a pair at the threshold shares no band
 BLOCK = 1024  # members of a bucket that one task compares with as many others
 SALTS = 16
-BEST_ROUNDS = 2  # in which each member puts forward one pair only, which mostly joins its group to others before all pairs are looked at
+BEST_ROUNDS = 2  # in which each member puts forward one pair of one bucket only, which mostly joins its group to others before all pairs are looked at
 BROADCAST_IDS = 500_000  # rows of three numbers sent to all executors at most (12 MB); more are joined by a shuffle
 SKETCH = "doc_id long, n_shingles long, set_key binary, text_key long, bands array<long>, sig binary"
 
@@ -135,7 +135,7 @@ def _comparer(percent: int, best: bool = False):
                 ids = np.array([m["id"] for m in part], np.int64)
                 group = np.array([m["component"] for m in part], np.int64)
                 size = np.array([m["n"] for m in part], np.int64)
-                bands = np.array([m["bands"] for m in part], np.int64)
+                bands = None if best else np.array([m["bands"] for m in part], np.int32)
                 left = np.array([m.get("left") for m in part], bool)
                 sig = np.frombuffer(b"".join(m["sig"] for m in part), np.uint8).reshape(len(part), -1)
                 floor = np.array([agreement_floor(sig.shape[1], int(2 ** math.ceil(math.log2(max(1, n)))), percent) for n in size])
@@ -144,8 +144,8 @@ def _comparer(percent: int, best: bool = False):
                     y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
                     agree = (sig[y] == sig[x]).sum(axis=1)
                     some = agree >= np.minimum(floor[y], floor[x])
-                    # a pair that meets in several bands is told of in the first, by the keys that make buckets: signatures here have low bytes only
-                    some &= (bands[y] == bands[x]).argmax(axis=1) == row["band"]
+                    if not best:  # a pair that meets in several bands is told of in the first, by 32 bits of the keys that make buckets (a false match: 1 in 10^8)
+                        some &= (bands[y] == bands[x]).argmax(axis=1) == row["band"]
                     y, agree = y[some], agree[some]
                     y = y[[agree.argmax()]] if best and len(y) else y
                     out_a += np.minimum(ids[y], ids[x]).tolist()
@@ -168,29 +168,48 @@ def _with_groups(members: DataFrame, groups: DataFrame) -> DataFrame:
     return now.join(mixed, "key", "left_semi")
 
 
-def _within_blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
+def _one_bucket(members: DataFrame, nth: int) -> DataFrame:
+    """Each member in one of its buckets: first the largest, then one drawn by hashes of the keys, so that members which share most buckets mostly draw the same."""
+    order = F.struct("size", "key", "band") if nth == 0 else F.struct(F.xxhash64("key", F.lit(nth)).alias("draw"), "size", "key", "band")
+    return members.groupBy("id").agg(F.max(order).alias("b"), F.min("component").alias("component")).select("b.key", "b.band", "id", "b.size", "component")
+
+
+def _item(best: bool, left: bool):
+    """What a task needs of a member; best pairs need no bands."""
+    return F.struct("id", "component", "n", *([] if best else ["bands"]), "sig", F.lit(left).alias("left"))
+
+
+def _within_blocks(members: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
     """One row per block of each bucket, each member in one."""
-    item = F.struct("id", "component", "n", "bands", "sig", F.lit(False).alias("left"))
     full = members.join(reps, "id").withColumn("i", _blocks("size")[1])
-    return full.groupBy("key", "band", "i").agg(F.collect_list(item).alias("members")).select("key", "band", "members")
+    return full.groupBy("key", "band", "i").agg(F.collect_list(_item(best, False)).alias("members")).select("key", "band", "members")
 
 
-def _across_blocks(members: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+def _across_blocks(members: DataFrame, reps: DataFrame, best: bool, scratch: Scratch) -> DataFrame:
     """One row per block of the members outside a bucket's largest group and block of all its members, for buckets of several blocks.
     The work grows with those outside times the bucket, not with its square."""
-    some = scratch.table(members.where(F.col("size") > BLOCK), "several")
+    some = scratch.table(members, "several")
     sizes = some.groupBy("key", "component").agg(F.count("*").alias("c"))
-    most = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), (F.sum("c") - F.max("c")).alias("outside"))
+    most = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), (F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
     full = some.join(most, "key").join(reps, "id")
     (n_left, own_left), (n_all, own_all) = _blocks("outside"), _blocks("size")
     out = full.withColumn("is_left", F.col("component") != F.col("largest"))
-    item = lambda left: F.struct("id", "component", "n", "bands", "sig", F.lit(left).alias("left"))
-    lefts = out.where("is_left").select("key", "band", own_left.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_all - 1)).alias("j"), item(True).alias("m"))
+    lefts = out.where("is_left").select("key", "band", own_left.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_all - 1)).alias("j"), _item(best, True).alias("m"))
     # a left member of the same block pair is dealt once: as a left one
-    rest = out.select("key", "band", F.explode(F.sequence(F.lit(0).cast("long"), n_left - 1)).alias("i"), own_all.alias("j"), F.when(F.col("is_left"), own_left).alias("own"), item(False).alias("m")).where("own IS NULL OR own <> i").drop("own")
+    rest = out.select("key", "band", F.explode(F.sequence(F.lit(0).cast("long"), n_left - 1)).alias("i"), own_all.alias("j"), F.when(F.col("is_left"), own_left).alias("own"), _item(best, False).alias("m")).where("own IS NULL OR own <> i").drop("own")
     return lefts.unionByName(rest).groupBy("key", "band", "i", "j").agg(F.collect_list("m").alias("members")).select("key", "band", "members")
 
 
+def _joined(groups: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """The groups after further links. The links are taken between groups, so that what is contracted is as small as what is new."""
+    of = lambda end: groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b"))
+    over = scratch.table(connected_components(ends, "a", "b", scratch), "over").select(F.col("id").alias("component"), F.col("component").alias("least"))
+    fresh = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct().join(groups.select("id"), "id", "left_anti")
+    every = groups.unionByName(fresh.select("id", F.col("id").alias("component")))
+    return every.join(over, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``, which may have any other columns.
 
@@ -210,7 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = some.join(own.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
     # a node per distinct set: ids do not serve, as one may have several sets. Numbered in the written table, so that they stay
     nodes = scratch.table(firsts.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").alias("rep"), "set_key", "text_key", "n_shingles", "bands", "sig"), "nodes")
-    reps = nodes.select("id", F.col("n_shingles").alias("n"), "bands", "sig")
+    marks = F.transform("bands", lambda key: (key.bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int"))
+    reps = nodes.select("id", F.col("n_shingles").alias("n"), marks.alias("bands"), "sig")
 
     # buckets: band number and key in one; sizes are counted map-side, and a key that many nodes share is split by adaptive execution in the join
     member = nodes.select("id", F.posexplode("bands").alias("band", "key")).select("id", "band", F.xxhash64("band", "key").alias("key"))
@@ -228,18 +248,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = scratch.table(_verify(edges, texts, percent, k), "links")
     groups = scratch.table(connected_components(links, "a", "b", scratch), "groups")
-    told = edges
-    within, across = lambda m: _within_blocks(m, reps), lambda m: _across_blocks(m, reps, scratch)
-    for n, (dealt, best) in enumerate([*[(within, True)] * BEST_ROUNDS, (within, False), *[(across, True)] * BEST_ROUNDS, (across, False)]):
-        open_ = scratch.table(_with_groups(members if dealt is within else members.where(F.col("size") > BLOCK), groups), f"open-{n}")
-        if not open_.limit(1).count():
-            continue
-        maybe = scratch.table(dealt(open_).mapInArrow(_comparer(percent, best), "a long, b long").distinct().join(told, ["a", "b"], "left_anti"), f"maybe-{n}")
+    told, pool = edges, members
+    rounds = [(across, nth) for across in (False, True) for nth in (*range(BEST_ROUNDS), None)]
+    for n, (across, nth) in enumerate(rounds):
+        # a bucket of one group stays so: each round looks at what the one before left open
+        open_ = scratch.table(_with_groups(pool.where(F.col("size") > BLOCK) if across else pool, groups), f"open-{n}")
+        if open_.isEmpty():
+            break
+        pool, best = open_.drop("component"), nth is not None
+        ask = _one_bucket(open_, nth) if best else open_
+        dealt = _across_blocks(ask, reps, best, scratch) if across else _within_blocks(ask, reps, best)
+        maybe = scratch.table(dealt.mapInArrow(_comparer(percent, best), "a long, b long").distinct().join(told, ["a", "b"], "left_anti"), f"maybe-{n}")
         more = scratch.table(_verify(maybe, texts, percent, k), f"more-{n}")
         told = told.unionByName(maybe)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            groups = scratch.table(connected_components(links, "a", "b", scratch), f"groups-{n}")
+        if not more.isEmpty():
+            groups = scratch.table(_joined(groups, more, scratch), f"groups-{n}")
     placed = nodes.select("id", "set_key", "rep").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = scratch.table(placed.join(least, "component").select("set_key", "component_id"), "named")
