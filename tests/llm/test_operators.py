@@ -133,6 +133,28 @@ def test_license_cues_cover_what_can_be_confirmed(spark):
     assert [r["text"] for r in forms.collect() if not re.search(license_scan.CUES, r["text"])] == []
 
 
+def test_license_texts_are_read_once(spark, monkeypatch):
+    """Lines are split into words once, joined ones once more; the expression of cues is for joined lines alone."""
+    plans, write = {}, license_scan.Scratch.table
+    monkeypatch.setattr(license_scan.Scratch, "table", lambda self, df, name, **k: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), write(self, df, name, **k))[1])
+    license_scan.scan(docs(spark, ["Released under the MIT License."])).count()
+    plan = plans["scored"]
+    assert (plan.count("regexp_replace("), plan.count("licen[cs]")) == (3, 1)  # lines, joined lines, and the ends of lines beyond CLIP
+
+
+def test_license_cue_words(spark):
+    for confirm in (0.3, 0.6, 0.9):
+        cues = set(license_scan.cue_words(confirm))
+        for texts in license_scan._templates().values():
+            assert all(sum(cues.isdisjoint(p.split()) for p in pairs) < confirm * len(pairs) for pairs in map(set, texts))
+    # where a long line is clipped, what is left of a word may be a cue; a cue may be beyond the first line
+    clip = license_scan.CLIP
+    texts = ["xxxApache" + "." * (clip - 6) + "\n2.0", "some\n" + "." * (clip - 6) + "Apacheyyy" + "." * clip + "\n2.0", "GPL\n3.0\nor\nlater", "plain\n" * 30 + "Licensed under\nCC\nBY 4.0.", "xxxApache\n2.0"]
+    rows = docs(spark, texts)
+    got = {r["doc_id"]: r["families"] for r in license_scan.by_document(rows, license_scan.scan(rows)).collect()}
+    assert got == {0: "apache", 1: "apache", 2: "gpl", 3: "cc-by", 4: ""}
+
+
 def test_wrapped_notices(spark):
     import textwrap
 
