@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,17 @@ def letters(word: str) -> np.ndarray:
     return sym[sym > 0]
 
 
+def spell(words: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """What ``letters`` gives of each word, as bytes, with its size, and each word's last code point; all words at once. No word is empty or has a line feed."""
+    cp = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.flatnonzero(cp == 10)
+    sym = _symbols()[np.minimum(cp, 65535)]
+    kept = sym > 0
+    size = np.add.reduceat(kept, np.r_[0, ends[:-1] + 1], dtype=np.int64)  # a line feed's symbol is 0, so that no range is empty
+    all_symbols, stops = sym[kept].tobytes(), np.cumsum(size).tolist()
+    return [all_symbols[a:b] for a, b in zip([0, *stops], stops, strict=False)], size, cp[ends - 1]
+
+
 def features(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, code, value) of all words' subsequences, by owner; each word's values have the norm 1. A word of one letter has none.
 
@@ -201,8 +213,10 @@ class Sentences:
         if not single.any():
             return []
         edge = np.diff(np.r_[False, single, False].astype(np.int8))
+        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        long = end - first >= SPACED
         out = []
-        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        for a, b in zip(first[long].tolist(), end[long].tolist(), strict=True):
             inner = self.docs[np.searchsorted(self.docs, a, "right") : np.searchsorted(self.docs, b, "left")].tolist()
             out += [(x, y) for x, y in zip([a, *inner], [*inner, b], strict=True) if y - x >= SPACED]
         return out
@@ -224,7 +238,7 @@ class Model:
         self._forget()
 
     def _forget(self) -> None:
-        self._at: dict[str, int] = {}
+        self._at: defaultdict[str, int] = defaultdict(count().__next__)  # a word that isn't there gets the next number
         self._known: dict[bytes, float] = {}
         self._score, self._flag = np.zeros(0, np.float32), np.zeros(0, np.uint8)
 
@@ -248,22 +262,25 @@ class Model:
             np.maximum.at(out, np.array(owner, np.int64)[at], self.kernel.values([pieces[i] for i in at]) @ self.beta)
         return np.where(np.isfinite(out), out, 0.0) + self.bias
 
+    def _number(self, tokens: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Each word's number, and the words that had none before."""
+        known = len(self._at)
+        at = np.fromiter(map(self._at.__getitem__, tokens), np.int64, len(tokens))
+        return at, list(islice(self._at, known, None))
+
     def look_up(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Score and flags (1: a single letter, 2: ends a sentence) of each word, computed once per distinct word."""
-        new = list(set(tokens).difference(self._at))
-        if len(new) + len(self._at) > MEMO_WORDS:
+        at, new = self._number(tokens)
+        if len(self._at) > MEMO_WORDS and len(new) < len(self._at):
             self._forget()
-            new = list(set(tokens))
+            at, new = self._number(tokens)
         if new:
-            syms = [letters(w) for w in new]
-            flag = [(len(s) == 1) + 2 * (w[-1] in ".!?") for s, w in zip(syms, new, strict=True)]
-            self._at.update(zip(new, range(len(self._at), len(self._at) + len(new)), strict=True))
-            keys = [s.tobytes() for s in syms]
+            keys, size, last = spell(new)
+            flag = (size == 1) + 2 * np.isin(last, [ord(c) for c in ".!?"])
             fresh = [k for k in dict.fromkeys(keys) if k not in self._known]
             self._known.update(zip(fresh, self.word_scores([np.frombuffer(k, np.uint8) for k in fresh]).tolist(), strict=True))
-            self._score = np.r_[self._score, np.array([self._known[k] for k in keys], np.float32)]
-            self._flag = np.r_[self._flag, np.array(flag, np.uint8)]
-        at = np.fromiter(map(self._at.__getitem__, tokens), np.int64, len(tokens))
+            self._score = np.r_[self._score, np.fromiter(map(self._known.__getitem__, keys), np.float32, len(keys))]
+            self._flag = np.r_[self._flag, flag.astype(np.uint8)]
         return self._score[at], self._flag[at]
 
     def sentences(self, texts: list[str]) -> tuple[Sentences, np.ndarray, np.ndarray]:
