@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import chat, decontam, license_scan, line_dedup, media, near_dedup, packing, sharding, toxicity, url_filter
+from threadlake.llm import ball_tree, chat, decontam, license_scan, line_dedup, media, near_dedup, packing, sharding, toxicity, url_filter
 from threadlake.session import Scratch, table
 
 
@@ -65,7 +65,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_best_fit_packing, op4_near_dedup, op5_line_dedup, op6_media_columns, op7_decontamination, op8_sharding, op9_chat_formatting, op10_toxicity)}
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.report(*ball_tree.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_best_fit_packing, op4_near_dedup, op5_line_dedup, op6_media_columns, op7_decontamination, op8_sharding, op9_chat_formatting, op10_toxicity, op13_centroid_clustering)}
 
 _BARE = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -78,7 +82,27 @@ kept AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.k IS NOT
          coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE o.k IS NULL OR l.doc_id = o.last), '') AS text
          FROM lines l LEFT JOIN often o ON l.k = o.k GROUP BY l.doc_id)"""
 
+def _clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds over (vector, place) rows, one pair of common table expressions a round."""
+    parts = [
+        "vec AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)",
+        f"first AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM vec ORDER BY h LIMIT {k}))",
+        "x AS MATERIALIZED (SELECT vec_id, unnest(v) AS a, generate_subscripts(v, 1) AS i FROM vec)",
+        "c0 AS MATERIALIZED (SELECT c, unnest(v) AS b, generate_subscripts(v, 1) AS i FROM first)",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"d{n} AS (SELECT vec_id, c, sum((a - b) * (a - b)) AS d FROM x JOIN c{n} USING (i) GROUP BY ALL)")
+        parts.append(f"p{n} AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{n} GROUP BY vec_id)")
+        if n < rounds:
+            new = f"SELECT c, i, CAST((sum(a) - ((sum(a) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS b FROM x JOIN p{n} USING (vec_id) GROUP BY c, i"
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT o.c, o.i, coalesce(m.b, o.b) AS b FROM c{n} o LEFT JOIN ({new}) m USING (c, i))")
+    digest = f"SELECT c, sha256(string_agg(CAST(b AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c"
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM p{rounds} JOIN ({digest}) USING (c)"""
+
+
 ORACLE = {
+    "op13_centroid_clustering": _clustering_sql(),
     "op1_url_filter": f"""
 WITH parts AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
