@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import ball_tree, chat, decontam, license_scan, line_dedup, media, near_dedup, packing, periodic_runs, sharding, toxicity, url_filter
+from threadlake.llm import ball_tree, chat, decontam, hilbert_search, license_scan, line_dedup, media, near_dedup, packing, periodic_runs, sharding, toxicity, url_filter
 from threadlake.session import Scratch, table
 
 
@@ -65,6 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "id % 20 = 0")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = periodic_runs.periodic_runs(docs.select("doc_id", periodic_runs.planted(F.col("text"), F.col("doc_id")).alias("text")))
@@ -78,7 +82,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.report(*ball_tree.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_best_fit_packing, op4_near_dedup, op5_line_dedup, op6_media_columns, op7_decontamination, op8_sharding, op9_chat_formatting, op10_toxicity, op12_periodic_runs, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op3_best_fit_packing, op4_near_dedup, op5_line_dedup, op6_media_columns, op7_decontamination, op8_sharding, op9_chat_formatting, op10_toxicity, op11_nearest_neighbours, op12_periodic_runs, op13_centroid_clustering)}
 
 _BARE = r"regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
