@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import has_part_suffix, strip_part_suffix
+from threadlake.operators.selection import exact_quantile
 from threadlake.session import Scratch
 
 
@@ -38,8 +39,8 @@ def attach_reference_replies(sample: DataFrame, messages: DataFrame, brand: str)
 
 
 def split_instant(messages: DataFrame, train_share: float = 0.7, ts_col: str = "created_at") -> DataFrame:
-    """One row: the exact, linearly interpolated quantile of the timestamps, in microseconds."""
-    return messages.agg(F.percentile(F.unix_micros(F.col(ts_col).cast("timestamp")), train_share).alias("cut"))
+    """One row: the exact, linearly interpolated quantile of the timestamps, in microseconds, by distributed selection."""
+    return exact_quantile(messages.select(F.unix_micros(F.col(ts_col).cast("timestamp")).alias("us")), "us", train_share)
 
 
 def assign_time_split(messages: DataFrame, train_share: float = 0.7, ts_col: str = "created_at") -> DataFrame:
