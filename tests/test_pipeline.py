@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,10 +65,35 @@ def test_golden(spark):
         golden_sample(m, "brand", 60, 60)
 
 
-def test_round_robin_exhausts_and_skips():
+def taken_in_turn(found, names, quota):
+    queues, chosen = {n: [i for b, i in found if b == n] for n in names}, {}
+    while len(chosen) < quota and any(queues.values()):
+        for n in names:
+            while queues[n] and queues[n][0] in chosen:
+                queues[n].pop(0)
+            if queues[n] and len(chosen) < quota:
+                chosen[queues[n].pop(0)] = n
+    return chosen
+
+
+def test_round_robin_exhausts_and_skips(spark):
+    def fold(found, names, quota):
+        place = {n: 0 for n in names}
+        rows = []
+        for b, i in found:
+            place[b] += 1
+            rows.append((i, b, place[b]))
+        return {r["id"]: r["bucket"] for r in round_robin(spark.createDataFrame(rows, "id long, bucket string, rn int"), names, quota, "id").collect()}
+
     found = [("a", 1), ("a", 2), ("b", 1), ("c", 5)]
-    assert round_robin(found, ["a", "b", "c"], 10) == {1: "a", 5: "c", 2: "a"}
-    assert round_robin(found, ["a", "b", "c"], 2) == {1: "a", 5: "c"}
+    assert fold(found, ["a", "b", "c"], 10) == {1: "a", 5: "c", 2: "a"}
+    assert fold(found, ["a", "b", "c"], 2) == {1: "a", 5: "c"}
+    assert fold([], ["a", "b"], 3) == {}
+    rng = random.Random(3)
+    for _ in range(15):
+        names, quota = list("abcde")[: rng.randrange(1, 6)], rng.randrange(1, 12)
+        found = [(n, i) for n in names for i in rng.sample(range(25), rng.randrange(0, quota + 1))]
+        assert fold(found, names, quota) == taken_in_turn(found, names, quota)
 
 
 def test_topup(spark):

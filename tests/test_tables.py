@@ -1,5 +1,6 @@
 import inspect
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,39 @@ def test_clusters(spark):
     assert {r["cluster"] for r in clustering.lloyd_step(v, "label").where("vec_id < 9").collect()} == {0}
 
 
+def test_silhouette_by_blocks(spark, monkeypatch):
+    """All rows, in blocks of a few, against plain loops; copies, a single member and more rows than any one block."""
+    monkeypatch.setattr(clustering, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    x = np.concatenate((rng.normal(size=(60, 3)), rng.normal(size=(50, 3)) + 4, np.ones((20, 3)), [[99.0, 0, 0]]))
+    labels = [0] * 60 + [1] * 50 + [2] * 20 + [3]
+    x = x.astype(np.float32).astype(float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i, c in enumerate(labels):
+        mean = lambda k, out=0: d[i][np.array(labels) == k].sum() / max(1, labels.count(k) - out)  # noqa: B023, E731
+        a, b = mean(c, 1), min(mean(k) for k in set(labels) if k != c)
+        want.append(0.0 if labels.count(c) == 1 else (b - a) / max(a, b))
+    v = spark.createDataFrame([(i, c, r.tolist()) for i, (c, r) in enumerate(zip(labels, x, strict=True))], VEC)
+    got = clustering.silhouette(v, "label", sample=None).first()
+    assert got["n"] == len(x) and got["silhouette"] == pytest.approx(np.mean(want), abs=1e-9)
+    assert clustering.silhouette(v, "label", sample=40, seed=1).first()["n"] == 40
+    assert clustering.silhouette(v.limit(0), "label", sample=None).first().asDict() == {"silhouette": -1.0, "n": 0}
+
+
+def test_label_causes(spark):
+    prompts = spark.createDataFrame([(1, "good"), (2, "strict"), (3, "never"), (4, "none")], "cluster_id int, prompt string")
+
+    def complete(p):
+        strict = p.endswith(clustering.STRICT_SUFFIX)
+        return F.when(p.startswith("good") | (p.startswith("strict") & strict), F.lit('{"label": "a", "description": "d"}')).when(p.startswith("none"), F.lit(None)).otherwise(F.lit("no json"))
+
+    got = {r["cluster_id"]: (r["label"], r["cause"]) for r in clustering.label_clusters(prompts, complete).collect()}
+    assert got == {1: ("a", None), 2: ("a", None), 3: ("unlabelled_cluster_3", "no JSON object"), 4: ("unlabelled_cluster_4", "no answer")}
+    details = {r["detail"] for r in clustering.label_warnings(clustering.label_clusters(prompts, complete), [2, 9], 5).where("warning = 'unreadable_answer'").collect()}
+    assert details == {"unlabelled_cluster_3: no JSON object", "unlabelled_cluster_4: no answer"}
+
+
 def test_sweep_flags(spark):
     k = lambda *s: spark.createDataFrame([(i + 2, x, 1.0) for i, x in enumerate(s)], "k int, silhouette double, inertia double")
     assert clustering.best_k(k(0.1, 0.3, 0.3)).first()["k"] == 3
@@ -49,16 +83,6 @@ def test_sweep_flags(spark):
 def test_vectors(spark):
     v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
     assert [r[0] for r in v.select(l2_normalize(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
-    a = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
-    b = spark.createDataFrame([(7, [1.0, 0.01]), (8, [1.0, 1.0])], "vec_id long, embedding array<float>")
-    assert [(r["id"], r["best_id"]) for r in records.near_screen(a, b).collect()] == [(1, 7)]
-
-
-def test_queries_beyond_a_block(spark):
-    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
-    asked = v.where("vec_id < 11")
-    whole, parts = (sorted(tuple(r) for r in records.top_matches(asked, v, 3, block=b).collect()) for b in (4096, 4))
-    assert len(whole) == 33 and parts == whole
 
 
 def test_sweep_covers_the_reference(spark, monkeypatch):

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from threadlake.functions.parsing import parse_label
 from threadlake.functions.vectors import doubles, euclidean
 from threadlake.operators.sampling import uniform
+from threadlake.session import Scratch
 
 SILHOUETTE_SAMPLE = 5000
+BLOCK = 1024  # rows of a block, about
 WEAK = 0.25
+UNREADABLE = "unlabelled_cluster_"
 STRICT_SUFFIX = "\n\nThe last answer could not be read. Give the JSON object and nothing before or after it."
 
 
@@ -77,59 +80,81 @@ def representatives(vectors: DataFrame, n: int = 12, cluster_col: str = "cluster
     return d.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
 
 
+def _packed(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """((b, ids, labels, vs), number of blocks): rows dealt by a hash into blocks of about ``BLOCK``, as flat arrays."""
+    blocks = max(1, -(-rows.count() // BLOCK))
+    dealt = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "c", "v")).alias("m"))
+    return scratch.table(dealt.select("b", F.col("m.id").alias("ids"), F.col("m.c").alias("labels"), F.flatten("m.v").alias("vs")), "blocks"), blocks
+
+
+def _distance_sums(batches):
+    """The rows of a block come with every block in turn, sorted by the block that they belong to: its distances to all rows are summed per cluster, and told once the next block begins."""
+    at, own, sums = None, None, {}
+
+    def told():
+        ids, labels = own
+        for c in sorted(sums):
+            total, n = sums[c]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(np.full(len(ids), c), pa.int32()), pa.array(total), pa.array(np.full(len(ids), n), pa.int64())], ["id", "own", "c", "total", "n"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            b = batch.column(0)[i].as_py()
+            ids, labels, vs, labels2, vs2 = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(1, 6))
+            if b != at:
+                if at is not None:
+                    yield from told()
+                at, own, sums = b, (ids, labels), {}
+            x, y = vs.reshape(len(ids), -1), vs2.reshape(len(labels2), -1)
+            sq = (x**2).sum(1)[:, None] - 2 * (x @ y.T) + (y**2).sum(1)
+            close = np.nonzero(sq < 1e-6)  # where the products' rounding shows: distances of such pairs are taken plainly
+            sq[close] = ((x[close[0]] - y[close[1]]) ** 2).sum(1)
+            d = np.sqrt(np.maximum(sq, 0))
+            for c in np.unique(labels2):
+                inside = labels2 == c
+                total, n = sums.get(int(c), (0.0, 0))
+                sums[int(c)] = total + d[:, inside].sum(1), n + int(inside.sum())
+    if at is not None:
+        yield from told()
+
+
 def silhouette(vectors: DataFrame, cluster_col: str = "cluster", id_col: str = "vec_id", vec_col: str = "embedding", sample: int | None = SILHOUETTE_SAMPLE, seed: int = 0) -> DataFrame:
-    """(silhouette, n): the mean Euclidean silhouette, a single member scoring 0 and one cluster alone -1.
+    """(silhouette, n): the mean Euclidean silhouette, a single member scoring 0 and one cluster alone -1; over all rows, or over a sample of a stated size.
 
-    Distances to all rows are summed per cluster block by block: the (sampled, so bounded) rows are one broadcast matrix, and each
-    partition's rows are compared with it in numpy.
+    Every block of rows meets every block, as the measure asks for, in a join on the block's number; each row's distances are summed per cluster block by block, so that a task holds two
+    blocks and the sums of one. What is shuffled then is a row per row and cluster.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(cluster_col).cast("int").alias("c"), doubles(F.col(vec_col)).alias("v"))
-    if sample is not None:
-        rows = uniform(rows, sample, seed, "id")
-    held = rows.collect() if sample is not None else rows.limit(20_001).collect()
-    if len(held) > 20_000:
-        raise ValueError("over 20000 rows: give a sample size")
-    labels = np.array([r["c"] for r in held], np.int64)
-    x = np.array([r["v"] for r in held], np.float64)
-    spark = vectors.sparkSession
-    if len(set(labels.tolist())) < 2:
-        return spark.createDataFrame([(-1.0, len(held))], "silhouette double, n long")
-    shared = spark.sparkContext.broadcast((labels, x))
-
-    def run(batches):
-        labels, x = shared.value
-        kinds, at = np.unique(labels, return_inverse=True)
-        count = np.bincount(at)
-        sq = (x**2).sum(axis=1)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                i = batch.column(0)[lo : lo + 256].to_numpy(zero_copy_only=False)
-                d = np.sqrt(np.maximum(sq[i, None] + sq[None, :] - 2 * x[i] @ x.T, 0))
-                d[np.arange(len(i)), i] = 0
-                sums = np.stack([d[:, at == k].sum(axis=1) for k in range(len(kinds))], axis=1)
-                own = at[i]
-                a = sums[np.arange(len(i)), own] / np.maximum(count[own] - 1, 1)
-                mean = sums / count
-                mean[np.arange(len(i)), own] = np.inf
-                b = mean.min(axis=1)
-                top = np.maximum(a, b)
-                s = np.where((count[own] == 1) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1, top))
-                yield pa.RecordBatch.from_arrays([pa.array(s)], ["s"])
-
-    scored = spark.range(0, len(held), 1, max(1, len(held) // 256)).mapInArrow(run, "s double")
-    return scored.agg(F.avg("s").alias("silhouette"), F.count("*").alias("n"))
+    rows = rows if sample is None else uniform(rows, sample, seed, "id")
+    scratch = Scratch(vectors.sparkSession, "silhouette")
+    held, blocks = _packed(rows, scratch)
+    other = held.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.col("labels").alias("labels2"), F.col("vs").alias("vs2"))
+    pairs = held.join(other.hint("merge"), "b").repartition(blocks, "b").sortWithinPartitions("b")
+    sums = scratch.table(pairs.select("b", "ids", "labels", "vs", "labels2", "vs2").mapInArrow(_distance_sums, "id long, own int, c int, total double, n long"), "sums")
+    mine = F.col("c") == F.col("own")
+    each = sums.groupBy("id", "own").agg(F.max(F.when(mine, F.col("total"))).alias("t"), F.max(F.when(mine, F.col("n"))).alias("n"), F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"))
+    a = F.col("t") / (F.col("n") - 1)
+    top = F.greatest(a, F.col("b"))
+    score = F.when(F.col("b").isNull(), -1.0).when((F.col("n") == 1) | (top == 0), 0.0).otherwise((F.col("b") - a) / F.when(top == 0, 1.0).otherwise(top))
+    return each.select(score.alias("s")).agg(F.coalesce(F.avg("s"), F.lit(-1.0)).alias("silhouette"), F.count("*").alias("n"))
 
 
 def sweep_k(vectors: DataFrame, ks: list[int], seed: int, runs: int = 3, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SILHOUETTE_SAMPLE) -> DataFrame:
-    """(k, silhouette, inertia) for every k below the number of rows."""
+    """(k, silhouette, inertia) for every k below the number of rows. The vectors are held once for all fits, and the silhouette's sample is drawn once."""
     n = vectors.count()
+    scratch = Scratch(vectors.sparkSession, "sweep")
+    some = scratch.table(uniform(vectors.select(id_col, vec_col), sample, seed, id_col), "sample")
+    data = vectors.select(array_to_vector(doubles(F.col(vec_col))).alias("features")).persist()
     out = []
-    for k in ks:
-        if k >= n:
-            continue
-        model = fit(vectors, k, seed, runs, vec_col)
-        score = silhouette(assign(vectors, model, vec_col), "cluster", id_col, vec_col, sample, seed).first()["silhouette"]
-        out.append((k, float(score), float(model.summary.trainingCost)))
+    try:
+        for k in ks:
+            if k >= n:
+                continue
+            model = min((KMeans(k=k, seed=seed + i, featuresCol="features").fit(data) for i in range(runs)), key=lambda m: m.summary.trainingCost)
+            score = silhouette(assign(some, model, vec_col), "cluster", id_col, vec_col, None).first()["silhouette"]
+            out.append((k, float(score), float(model.summary.trainingCost)))
+    finally:
+        data.unpersist()
     return vectors.sparkSession.createDataFrame(out, "k int, silhouette double, inertia double")
 
 
@@ -145,17 +170,23 @@ def sweep_flags(sweep: DataFrame) -> DataFrame:
 
 
 def label_clusters(prompts: DataFrame, complete: Callable[[Column], Column]) -> DataFrame:
-    """(cluster_id, label, description, raw): the parsed answer, that of one stricter retry, or a name that says so. ``prompts``: cluster_id, prompt; ``complete`` is any column function of the prompt."""
+    """(cluster_id, label, description, raw, cause): the parsed answer, that of one stricter retry, or a name that says so, with ``cause`` telling why the last answer could not be read.
+    ``prompts``: cluster_id, prompt; ``complete`` is any column function of the prompt. A null answer is one that did not come."""
+    why = lambda raw, p: F.when(raw.isNull(), F.lit("no answer")).otherwise(p["error"])
     rows = prompts.withColumn("raw1", complete(F.col("prompt"))).withColumn("p1", parse_label(F.col("raw1")))
-    rows = rows.withColumn("raw2", F.when(F.col("p1.label").isNull(), complete(F.concat(F.col("prompt"), F.lit(STRICT_SUFFIX))))).withColumn("p2", parse_label(F.col("raw2")))
-    name = F.concat(F.lit("unlabelled_cluster_"), F.col("cluster_id").cast("string"))
-    return rows.select("cluster_id", F.coalesce("p1.label", "p2.label", name).alias("label"), F.coalesce("p1.description", "p2.description", F.lit("")).alias("description"), F.coalesce("raw2", "raw1").alias("raw"))
+    again = F.col("p1.label").isNull()
+    rows = rows.withColumn("raw2", F.when(again, complete(F.concat(F.col("prompt"), F.lit(STRICT_SUFFIX))))).withColumn("p2", parse_label(F.col("raw2")))
+    name = F.concat(F.lit(UNREADABLE), F.col("cluster_id").cast("string"))
+    cause = F.when(again & F.col("p2.label").isNull(), why(F.col("raw2"), F.col("p2")))
+    return rows.select(
+        "cluster_id", F.coalesce("p1.label", "p2.label", name).alias("label"), F.coalesce("p1.description", "p2.description", F.lit("")).alias("description"), F.coalesce("raw2", "raw1").alias("raw"), cause.alias("cause")
+    )
 
 
 def label_warnings(labelled: DataFrame, ks: list[int], chosen: int) -> DataFrame:
     """(warning, detail): a k at the edge of the range, repeated labels, answers that could not be read."""
     repeated = labelled.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_label").alias("warning"), F.col("label").alias("detail"))
-    failed = labelled.where(F.col("label").startswith("unlabelled_cluster_")).select(F.lit("unreadable_answer").alias("warning"), F.col("label").alias("detail"))
+    failed = labelled.where(F.col("label").startswith(UNREADABLE)).select(F.lit("unreadable_answer").alias("warning"), F.concat_ws(": ", "label", "cause").alias("detail"))
     out = repeated.unionByName(failed)
     if chosen in (min(ks), max(ks)):
         out = out.unionByName(labelled.sparkSession.createDataFrame([("edge_of_range", str(chosen))], "warning string, detail string"))

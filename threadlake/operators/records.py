@@ -1,15 +1,10 @@
-"""Append-only logs: latest record per key (A8), override join (J5), progress (A9), open tasks (P9), cache lookups (J8, S12), call counts (A4), retrieval and quality."""
+"""Append-only logs: latest record per key (A8), override join (J5), progress (A9), open tasks (P9), cache lookups (J8, S12), call counts (A4), quality."""
 
 from __future__ import annotations
 
-from itertools import islice
-
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.session import Scratch
-
 
 def latest_per_key(log: DataFrame, key: str, seq: str) -> DataFrame:
     """The last record of each key; last means the greatest ``seq``. Aggregates map-side, so a hot key costs one row per task."""
@@ -54,62 +49,6 @@ def calls_by_model(cache: DataFrame) -> DataFrame:
     return cache.groupBy(F.concat_ws("/", "provider", "model").alias("model")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model")
 
 
-def near_screen(golden: DataFrame, indexed: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """(id, best_id, cosine): golden vectors whose nearest indexed vector is above the threshold.
-
-    The golden side is broadcast as matrices of ``block`` rows; every partition of the index multiplies its batches with each and keeps one best row per golden vector.
-    """
-    found = top_matches(golden, indexed, 1, id_col, vec_col, block)
-    return found.where(F.col("cosine") > threshold).select("id", F.col("match_id").alias("best_id"), "cosine")
-
-
-def top_matches(asked: DataFrame, indexed: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """(id, match_id, cosine, rank): for each query its k nearest vectors, itself left out. Any number of queries: they are broadcast a block at a time."""
-    import numpy as np
-    import pyarrow as pa
-
-    spark = asked.sparkSession
-    rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "match_id")
-
-    def nearest(rows) -> tuple[DataFrame, Broadcast]:
-        ids = np.array([r[0] for r in rows], np.int64)
-        q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches):
-            ids, q = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                other = batch.column(0).to_numpy(zero_copy_only=False)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = np.round(q @ x.T, 6)
-                s[ids[:, None] == other[None, :]] = -np.inf
-                n = min(k, s.shape[1])
-                best = np.argsort(-s, axis=1, kind="stable")[:, :n]
-                a, m, c = np.repeat(ids, n), other[best].ravel(), np.take_along_axis(s, best, 1).ravel()
-                ok = np.isfinite(c)
-                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(m[ok]), pa.array(c[ok])], ["id", "match_id", "cosine"])
-
-        part = indexed.select(F.col(id_col).cast("long"), vec_col).mapInArrow(run, "id long, match_id long, cosine double")
-        return part.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k), shared
-
-    waiting = asked.select(id_col, vec_col).toLocalIterator()
-    rows, later = list(islice(waiting, block)), list(islice(waiting, block))
-    if not later:
-        return nearest(rows)[0]
-    scratch = Scratch(spark, "top-matches")
-    while rows:
-        found, shared = nearest(rows)
-        scratch.append(found.drop("rank"), "matches")
-        shared.destroy()
-        rows, later = later, list(islice(waiting, block))
-    # ranked once more, as an id may be asked for in two blocks
-    return scratch.read("matches", "id long, match_id long, cosine double").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-
-
 def per_stratum(scored: DataFrame) -> DataFrame:
     """Accuracy of ``predicted`` against ``label_intent`` per stratum; strata are never pooled."""
     return scored.where("label_intent is not null").groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.avg((F.col("predicted") == F.col("label_intent")).cast("double")), 6).alias("accuracy"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from threadlake.functions import text as T
 from threadlake.functions.parsing import parse_label
 from threadlake.functions.vectors import l2_normalize
-from threadlake.operators import budget, clustering, graph, records, sampling, taxonomy, threads
-from threadlake.session import table
+from threadlake.operators import budget, clustering, graph, records, retrieval, sampling, screening, taxonomy, threads
+from threadlake.session import Scratch, table
 
 BRAND = "brand"
 SEED = 20260909
@@ -206,7 +206,25 @@ def uniform_sample(spark, sf_dir):
     return sampling.uniform(table(spark, sf_dir, "documents"), 100, SEED, "doc_id").select("doc_id", "lang")
 
 
-@query()
+def _strata_sql(patterns: dict[str, str], n: int = 100) -> str:
+    """Both strata in SQL: candidates per bucket, the turns as a recursion that carries the candidates' lists, then the top-up."""
+    hit = " UNION ALL ".join(f"SELECT doc_id, {i} AS b FROM rest WHERE regexp_matches(lower(text), '{p}')" for i, p in enumerate(patterns.values()))
+    names = ", ".join(f"'{n}'" for n in patterns)
+    lists = ", ".join(f"coalesce(list(doc_id ORDER BY rn) FILTER (WHERE b = {i}), [])" for i in range(len(patterns)))
+    return f"""WITH RECURSIVE a AS (SELECT doc_id FROM documents ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT {n}),
+rest AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM a)), hits AS ({hit}),
+best AS (SELECT doc_id, b, row_number() OVER (PARTITION BY b ORDER BY md5('{SEED + 1}:' || doc_id), doc_id) AS rn FROM hits),
+held AS (SELECT [{lists}] AS ls FROM best WHERE rn <= {n}),
+walk(turn, ls, ids, bs) AS (SELECT 0, ls, []::BIGINT[], []::INTEGER[] FROM held UNION ALL
+ SELECT turn + 1, ls, CASE WHEN pick IS NULL THEN ids ELSE list_append(ids, pick) END, CASE WHEN pick IS NULL THEN bs ELSE list_append(bs, turn % {len(patterns)}) END
+ FROM (SELECT *, list_filter(ls[turn % {len(patterns)} + 1], lambda x: NOT list_contains(ids, x))[1] AS pick FROM walk WHERE len(ids) < {n} AND turn < {n * len(patterns)})),
+b AS (SELECT unnest(ids) AS doc_id, unnest(bs) AS b FROM (SELECT * FROM walk ORDER BY turn DESC LIMIT 1)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED + 2}:' || doc_id), doc_id) AS place FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM b)),
+drawn AS (SELECT doc_id, 'A' AS stratum, 'uniform_random' AS sample_reason FROM a UNION ALL SELECT doc_id, 'B', ([{names}])[b + 1] FROM b
+ UNION ALL SELECT doc_id, 'B', 'random_topup' FROM ranked WHERE place <= {n} - (SELECT count(*) FROM b))"""
+
+
+@query(f"{_strata_sql(PATTERNS)} SELECT * FROM drawn")
 def stratified_round_robin(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_scrubbed"))
     return sampling.two_strata(d, 100, 100, SEED, "doc_id", patterns=PATTERNS).select("doc_id", "stratum", "sample_reason")
@@ -261,13 +279,13 @@ def inertia_by_cluster(spark, sf_dir):
     return clustering.inertia(table(spark, sf_dir, "embeddings"), "label")
 
 
-@query(f"""WITH v AS (SELECT * FROM embeddings ORDER BY md5('{SEED}:' || vec_id), vec_id LIMIT 2000),
+@query("""WITH v AS (SELECT * FROM embeddings),
 p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sqrt(greatest(0, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 g AS (SELECT vec_id, la, lb, avg(d) AS m FROM p GROUP BY ALL),
 s AS (SELECT vec_id, max(m) FILTER (WHERE la=lb) AS a, min(m) FILTER (WHERE la<>lb) AS b FROM g GROUP BY vec_id)
 SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b-a)/greatest(a,b) END), 6) AS silhouette, count(*) AS n FROM s""")
 def silhouette_exact(spark, sf_dir):
-    s = clustering.silhouette(table(spark, sf_dir, "embeddings"), "label", sample=2000, seed=SEED)
+    s = clustering.silhouette(table(spark, sf_dir, "embeddings"), "label", sample=None)
     return s.select(F.round("silhouette", 6).alias("silhouette"), "n")
 
 
@@ -277,6 +295,18 @@ def kmeans_sweep(spark, sf_dir):
     return sweep.crossJoin(clustering.sweep_flags(sweep)).join(clustering.best_k(sweep).select("k", F.lit(True).alias("best")), "k", "left")
 
 
+# a sweep made of the events: a row per seven users' remainder, with a mean in place of the silhouette
+_SWEEP = "s AS (SELECT CAST(user_id % 7 + 8 AS INTEGER) AS k, round(avg(value) / 400, 6) AS silhouette, round(sum(value), 6) AS inertia FROM events GROUP BY 1)"
+
+
+@query(f"""WITH {_SWEEP}, l AS (SELECT *, lag(silhouette) OVER (ORDER BY k) AS before FROM s)
+SELECT (SELECT k FROM s ORDER BY silhouette DESC, k LIMIT 1) AS k, max(silhouette) < 0.25 AS weak, count(*) > 1 AND coalesce(bool_and(silhouette <= before), FALSE) AS monotone FROM l""")
+def sweep_choice(spark, sf_dir):
+    """A10 to A12 on a fixed sweep."""
+    sweep = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 7 + 8).cast("int").alias("k")).agg(F.round(F.avg("value") / 400, 6).alias("silhouette"), F.round(F.sum("value"), 6).alias("inertia"))
+    return clustering.best_k(sweep).select("k").crossJoin(clustering.sweep_flags(sweep))
+
+
 @query("SELECT vec_id, pos, round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS x FROM (SELECT vec_id, pos - 1 AS pos, x, sqrt(sum(x*x) OVER (PARTITION BY vec_id)) AS n FROM (SELECT vec_id, unnest(embedding)::DOUBLE * 3 AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings))")
 def l2_normalized(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").withColumn("v", l2_normalize(F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 3)))
@@ -293,14 +323,63 @@ def _asked(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0)
 
 
+def _exact(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Exact answers of an index over ``vectors``, which is dropped once they are written."""
+    index = retrieval.build(vectors, seed=SEED)
+    found = Scratch(vectors.sparkSession, "answers").table(retrieval.search(index, asked, k), "found")
+    index.drop()
+    return found
+
+
 @query(f"WITH {_PAIRS} SELECT id, match_id AS best_id, cosine FROM k WHERE rank = 1 AND cosine > 0.4")
 def near_dup_screen(spark, sf_dir):
-    return records.near_screen(_asked(spark, sf_dir), table(spark, sf_dir, "embeddings"), 0.4)
+    """At a bound as low as this hashing sorts nothing out: exact answers of the index."""
+    return _exact(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 1).where("cosine > 0.4").select("id", F.col("match_id").alias("best_id"), "cosine")
 
 
 @query(f"WITH {_PAIRS} SELECT id, match_id, cosine, rank FROM k WHERE rank <= 5")
 def retrieval_topk(spark, sf_dir):
-    return records.top_matches(_asked(spark, sf_dir), table(spark, sf_dir, "embeddings"), 5).withColumn("rank", F.col("rank").cast("long"))
+    return _exact(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT count(*) AS asked, 5 * count(*) AS wanted, TRUE AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def retrieval_recall(spark, sf_dir):
+    """The probes as measured on a sample, then the recall of all queries against exact answers; ``reached``: it is 0.9 or more."""
+    index, asked = retrieval.build(table(spark, sf_dir, "embeddings"), seed=SEED), _asked(spark, sf_dir)
+    probes = retrieval.measured_probes(index, asked, 5, seed=SEED)
+    scratch = Scratch(spark, "recall")
+    seen = scratch.table(retrieval.recall(retrieval.search(index, asked, 5, probes), retrieval.search(index, asked, 5)), "seen")
+    index.drop()
+    return asked.agg(F.count("*").alias("asked")).crossJoin(seen).select("asked", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
+# golden vectors: every twentieth, of which every third is a slightly turned copy of the next row's vector
+_GOLDEN = "(SELECT a.vec_id, a.label, CASE WHEN a.vec_id % 60 = 0 THEN list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * 0.2 + z[2]::DOUBLE) ELSE a.embedding::DOUBLE[] END AS embedding FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0)"
+_REST = "(SELECT * FROM embeddings WHERE vec_id % 20 <> 0)"
+_CLOSE = f"p AS (SELECT a.vec_id, a.label, b.vec_id AS match_id, b.label AS other, round({_COS}, 6) AS cosine FROM {_GOLDEN} a JOIN {_REST} b ON TRUE), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, match_id) AS rank FROM p) WHERE rank = 1)"
+
+
+def _golden(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    turned = F.zip_with(F.col("embedding").cast("array<double>"), F.col("next").cast("array<double>"), lambda x, y: x * F.lit(0.2) + y)
+    return e.where("vec_id % 20 = 0").join(after, "vec_id").select("vec_id", "label", F.when(F.col("vec_id") % 60 == 0, turned).otherwise(F.col("embedding").cast("array<double>")).alias("embedding"))
+
+
+@query(f"WITH {_CLOSE} SELECT vec_id AS id, match_id AS best_id, cosine FROM k WHERE cosine > 0.95")
+def golden_screen(spark, sf_dir):
+    return screening.near_screen(_golden(spark, sf_dir), table(spark, sf_dir, "embeddings").where("vec_id % 20 <> 0"))
+
+
+@query(f"""WITH {_CLOSE} SELECT vec_id % 3 AS stratum, count(*) AS n, count(*) FILTER (WHERE cosine > 0.95) AS screened, round(avg((label = other)::INT), 6) AS accuracy_with,
+round(avg((label = other)::INT) FILTER (WHERE cosine <= 0.95), 6) AS accuracy_without FROM k GROUP BY stratum""")
+def golden_screen_report(spark, sf_dir):
+    """Labels predicted by the nearest indexed vector's, and how far rows that the screen takes out flatter them."""
+    golden, rest = _golden(spark, sf_dir), table(spark, sf_dir, "embeddings").where("vec_id % 20 <> 0")
+    best = _exact(rest, golden, 1).select(F.col("id").alias("vec_id"), "match_id")
+    predicted = best.join(rest.select(F.col("vec_id").alias("match_id"), F.col("label").alias("predicted")), "match_id")
+    scored = golden.select("vec_id", F.col("label").alias("label_intent"), (F.col("vec_id") % 3).alias("stratum")).join(predicted, "vec_id", "left")
+    return screening.screen_report(scored, screening.near_screen(golden, rest))
 
 
 @query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS us FROM events")
@@ -359,10 +438,6 @@ def taxonomy_share_rules(spark, sf_dir):
     return taxonomy.share_violations(_faulty(spark, sf_dir))
 
 
-@query(f"""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id), doc_id) AS place FROM documents)
-SELECT 'a' AS stratum, count(*) AS n FROM d WHERE place <= 100 UNION ALL SELECT 'b', 100""")
+@query(f"{_strata_sql(PATTERNS)} SELECT stratum, sample_reason, count(*) AS n FROM drawn GROUP BY ALL")
 def sample_reason_totals(spark, sf_dir):
-    """A5: how many rows each reason drew, summed per stratum here so that SQL can say it."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text_scrubbed"))
-    by_reason = sampling.counts_by_reason(sampling.two_strata(d, 100, 100, SEED, "doc_id", patterns=PATTERNS))
-    return by_reason.groupBy(F.lower("stratum").alias("stratum")).agg(F.sum("n").alias("n"))
+    return sampling.counts_by_reason(stratified_round_robin(spark, sf_dir))
