@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlake.sources.quoted_csv import scan_csv
+
 RAW = "tweet_id string, author_id string, inbound string, created_at string, text string, response_tweet_id string, in_response_to_tweet_id string"
 LABEL = "tweet_id long, thread_id long, text string, created_at string, stratum string, sample_reason string, reference_reply string, label_intent string, label_action string, label_reason string, reference_is_good boolean, notes string"
 LABEL_REQUIRED = ["tweet_id", "thread_id", "text", "created_at", "stratum", "sample_reason"]
@@ -29,9 +31,8 @@ def parse_created_at(value: Column) -> Column:
 
 
 def scan_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All seven columns as strings, in file order by ``_row``; quoted line ends and doubled quotes are read."""
-    rows = spark.read.schema(RAW).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.withColumn("_row", F.monotonically_increasing_id())
+    """All seven columns as strings, and ``_row`` that orders them as in the files; quoted line ends and doubled quotes are read, each file by as many tasks as it has splits."""
+    return scan_csv(spark, path, RAW)
 
 
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
