@@ -5,7 +5,7 @@ The message log is derived from ``conversations``: ids by conversation and turn,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
@@ -13,6 +13,9 @@ from threadlake.functions.parsing import parse_label
 from threadlake.functions.vectors import l2_normalize
 from threadlake.operators import budget, clustering, graph, records, retrieval, sampling, screening, taxonomy, threads
 from threadlake.session import Scratch, table
+from threadlake.sources.embedding_store import EmbeddingStore
+from threadlake.sources.files import file_ranges, hashing_embedder, parse_created_at, write_sorted
+from threadlake.sources.response_cache import ResponseCache
 
 BRAND = "brand"
 SEED = 20260909
@@ -384,12 +387,53 @@ def golden_screen_report(spark, sf_dir):
 
 @query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS us FROM events")
 def native_timestamp_parse(spark, sf_dir):
-    from threadlake.sources.files import parse_created_at
-
     raw = F.concat(F.lit("Tue "), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format("ts", "yyyy"))
     return table(spark, sf_dir, "events").select("event_id", F.unix_micros(parse_created_at(raw)).alias("us"))
 
 
+# events as answers: a key per user, put in three goes, the first two compacted
+@query("""SELECT key, event_id, provider FROM (SELECT 'u' || user_id AS key, event_id, event_type AS provider, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def response_cache_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    key = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    rows = e.select(
+        key.alias("key"), F.col("event_type").alias("provider"), F.lit("m").alias("model"), F.col("event_id").cast("string").alias("text"), F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), F.col("ts").cast("string").alias("created_at"),
+        F.lit(0).alias("latency_ms"), "event_id",
+    )
+    cache = ResponseCache(spark, Scratch(spark, "cache").root)
+    for part in range(3):
+        cache.put(rows.where(F.col("event_id") % 3 == part).orderBy("event_id"))
+        if part == 1:
+            cache.compact()
+    return cache.read().select("key", F.col("text").cast("long").alias("event_id"), "provider")
+
+
+@query("SELECT doc_id, n_words, TRUE AS has_vector FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS n_words FROM documents)")
+def embedding_store(spark, sf_dir):
+    """Vectors of the documents' texts, made once and read back from the store; a document with a word has a vector that isn't zero."""
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select(F.col("doc_id").alias("place"), "text")
+    store = EmbeddingStore(spark, Scratch(spark, "embeddings").root, "hashing-64")
+    store.embed(texts, hashing_embedder(64))
+    refuse = lambda rows: rows.withColumn("embedding", F.raise_error(F.lit("the store has these vectors")).cast("array<float>"))
+    held = store.embed(texts, refuse)
+    words = F.size(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")).cast("long")
+    return docs.join(held.withColumnRenamed("place", "doc_id"), "doc_id").select("doc_id", words.alias("n_words"), (F.size("embedding") == 64).alias("has_vector"))
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS out_of_order, CAST(0 AS BIGINT) AS overlaps FROM events")
+def sorted_sink(spark, sf_dir):
+    """Written sorted by time and read back: rows that come before the row in front of them in their file, and files that begin before the file in front of them ends."""
+    path = Scratch(spark, "sorted").path("events")
+    write_sorted(table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")), path, ["us", "event_id"])
+    rows = spark.read.parquet(path).select("us", "event_id", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    in_file = Window.partitionBy("file").orderBy("at")
+    wrong = rows.select(((F.lag("us").over(in_file) > F.col("us")) | ((F.lag("us").over(in_file) == F.col("us")) & (F.lag("event_id").over(in_file) > F.col("event_id")))).alias("bad"))
+    ranges = file_ranges(spark, path, "us")  # a row per file
+    over = ranges.select((F.lag("hi").over(Window.orderBy("file")) > F.col("lo")).alias("over"))
+    return wrong.agg(F.count("*").alias("n"), F.count_if("bad").alias("out_of_order")).crossJoin(over.agg(F.count_if("over").alias("overlaps")))
+
+
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type")
 def event_shares(spark, sf_dir):
     e = table(spark, sf_dir, "events")

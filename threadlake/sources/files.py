@@ -66,6 +66,18 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_sorted(rows: DataFrame, path: str, by: list[str], partitions: int | None = None) -> None:
+    """Files whose ranges of ``by`` don't overlap, each sorted, so that files in the order of their names are the sorted table and readers prune by the least and greatest values. No task
+    sorts more than its range; add a column that tells rows apart where many share a value, as equal rows fall in one range."""
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, *by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
+def file_ranges(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """(file, n, lo, hi) of each file of a sorted table."""
+    return spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"), F.min(by).alias("lo"), F.max(by).alias("hi"))
+
+
 def freeze(spark: SparkSession, path: str, to: str, schema: str = CACHE) -> None:
     """Copy a log into gzip files."""
     spark.read.schema(schema).json(path).write.mode("overwrite").option("compression", "gzip").json(to)

@@ -2,39 +2,53 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.operators.records import latest_per_key
+from threadlake.sources.versions import VersionLog
 
 
 class LatestTable:
-    """A table of the latest record per key in the shared folder. Each micro-batch writes a whole new version, which counts once it is complete, so a batch that is run again after a failure gives the same version. Epochs go on from the stream's checkpoint after a restart."""
+    """A table of the latest record per key in the shared folder, in buckets by the key's hash.
+
+    A micro-batch rewrites the buckets that its keys fall in, and no others (copy on write); a version then names every bucket's folder and the epoch, so that a batch that is run again
+    after a failure changes nothing, and readers see whole batches only. Epochs go on from the stream's checkpoint after a restart. Folders that neither the last version nor the one before names are deleted.
+    """
+
+    def __init__(self, path: str, schema: str, key: str, seq: str, buckets: int = 64):
+        self.path, self.schema, self.key, self.seq, self.buckets = path.rstrip("/"), schema, key, seq, buckets
 
-    def __init__(self, path: str, schema: str, key: str, seq: str):
-        self.path, self.schema, self.key, self.seq = path, schema, key, seq
-        self.version: int | None = None
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def _find(self, spark) -> None:
-        """The newest whole version in the folder: after a restart, and where another process has written since."""
-        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = [f.getPath().getParent().getName() for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS")) or ()]
-        self.version = max((int(name.partition("=")[2]) for name in done), default=None)
+    def _folders(self, spark, folders: list[str]) -> DataFrame:
+        parts = [spark.read.schema(self.schema).parquet(f"{self.path}/{f}") for f in folders]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], self.schema)
 
     def read(self, spark) -> DataFrame:
-        self._find(spark)
-        if self.version is None:
-            return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(f"{self.path}/v={self.version}")
+        _, facts = VersionLog(spark, self.path).latest()
+        return self._folders(spark, sorted(facts.get("buckets", {}).values()))
 
     def upsert(self, batch: DataFrame, epoch: int) -> None:
-        self._find(batch.sparkSession)
-        if self.version is not None and epoch <= self.version:
+        spark = batch.sparkSession
+        log = VersionLog(spark, self.path)
+        version, facts = log.latest()
+        if epoch <= facts.get("epoch", -1):
             return
-        every = self.read(batch.sparkSession).unionByName(batch)
-        latest_per_key(every, self.key, self.seq).write.mode("overwrite").parquet(f"{self.path}/v={epoch}")
-        self.version = epoch
+        now = facts.get("buckets", {})
+        touched = [str(r[0]) for r in batch.select(self._bucket()).distinct().collect()]  # as many as there are buckets at most
+        every = self._folders(spark, [now[b] for b in touched if b in now]).unionByName(batch.select(*self._folders(spark, []).columns))
+        made = f"e{epoch}-{uuid.uuid4().hex}"
+        merged = latest_per_key(every, self.key, self.seq).withColumn("_bucket", self._bucket())
+        merged.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{made}")
+        new = now | {b: f"{made}/_bucket={b}" for b in touched}
+        gone = [f for b, f in now.items() if new[b] != f]
+        log.commit(version + 1, {"epoch": epoch, "buckets": new, "gone": gone})
+        log.drop(facts.get("gone", []))
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
