@@ -121,9 +121,10 @@ def hashing_embedder(dim: int = 64) -> Callable[[DataFrame], DataFrame]:
 
     def embed(rows: DataFrame, text_col: str = "text") -> DataFrame:
         words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-        place = lambda w: F.pmod(F.xxhash64(w), F.lit(dim))
-        sign = lambda w: F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(words, lambda w: place(w) == i), F.lit(0.0), lambda s, w: s + sign(w)))
+        # a word's place from 1 on, with its sign; the texts are split and hashed once, as the places are the one element of an array
+        spot = lambda w: (F.pmod(F.xxhash64(w), F.lit(dim)) + 1).cast("int") * F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1).otherwise(-1)
+        share = lambda spots, i: (F.size(F.filter(spots, lambda p: p == i)) - F.size(F.filter(spots, lambda p: p == -i))).cast("double")
+        counts = F.transform(F.array(F.transform(words, spot)), lambda spots: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: share(spots, i)))[0]
         return rows.withColumn("embedding", l2_normalize(counts).cast("array<float>"))
 
     return embed
