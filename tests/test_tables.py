@@ -1,4 +1,5 @@
 import inspect
+import json
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from threadlake.functions.vectors import l2_normalize
 from threadlake.operators import budget, clustering, records, taxonomy
 from threadlake.plans import registry
+from threadlake.sources import files
 from threadlake.streaming.latest import LatestTable, windowed_counts
 
 VEC = "vec_id long, label int, embedding array<float>"
@@ -151,3 +153,56 @@ def test_stream_of_records(spark, tmp_path):
 def test_windowed_counts(spark):
     rows = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "b")], "ts string, k string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r["k"], r["n"]) for r in windowed_counts(rows, "ts", "k").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_share_rules(spark):
+    def rules(*rows):
+        df = spark.createDataFrame([(f"l{i}", "d", source, "review", share, None) for i, (source, share) in enumerate(rows)], taxonomy.SCHEMA)
+        return {r["rule"] for r in taxonomy.share_violations(df).collect()}
+
+    assert taxonomy.share_violations(taxonomy.curated(spark)).count() == 0
+    assert rules(("cluster", 0.97), ("keyword", 0.2)) == set() == rules(("cluster", 0.5), ("cluster", 0.525), ("keyword", 0.1))  # 1.025 is within 0.03
+    assert rules(("cluster", 0.969)) == {"cluster_shares_sum"} == rules(("cluster", 0.531), ("cluster", 0.5))
+    assert rules(("cluster", 1.0), ("keyword", 0.9), ("keyword", 0.9)) == {"keyword_shares_sum"}
+    assert rules(("cluster", 0.97), ("keyword", 0.01)) == {"all_shares_sum"}
+    assert rules(("cluster", None), ("keyword", None)) == set()
+
+
+def test_label_rules(spark):
+    rows = [(1, "praise_thanks", "auto", None), (2, "refund_or_compensation", "auto", ""), (3, "praise_thanks", "escalate", "mood"), (4, None, None, None), (5, "other", "escalate", ""), (6, "x", "maybe", "other"), (7, "refund_or_compensation", "escalate", "high_risk_intent"), (8, "refund_or_compensation", None, None)]
+    labels = spark.createDataFrame(rows, "tweet_id long, label_intent string, label_action string, label_reason string")
+    got = sorted((r["id"], r["rule"]) for r in taxonomy.label_violations(labels, taxonomy.curated(spark)).collect())
+    assert got == [(2, "not_escalated"), (3, "unknown_reason"), (5, "no_reason"), (6, "reason_without_escalation"), (6, "unknown_action"), (6, "unknown_intent"), (8, "not_escalated")]
+
+
+def test_views_and_audit(spark, tmp_path):
+    seen = {r["label"]: (r["tier"], r["share"]) for r in taxonomy.view(taxonomy.curated(spark)).collect()}
+    assert seen["praise_thanks"] == ("auto_ok", "20.0%") and seen["other"] == ("review", "-")
+    assert taxonomy.summary(taxonomy.curated(spark)).first().asDict() == {"intents": 13, "cluster_total": "99.9%", "always_escalate": "accessibility_medical, refund_or_compensation"}
+    clusters = spark.createDataFrame([(0, "baggage_issue", "Lost bags.", 120, ["m1", "m2"], "raw")], "cluster_id int, label string, description string, size long, representatives array<string>, raw string")
+    sweep = spark.createDataFrame([(4, 0.3, 90.0), (3, 0.4, 100.0)], "k int, silhouette double, inertia double")
+    files.write_taxonomy(clusters, sweep, str(tmp_path))
+    made = {n: json.loads(spark.read.text(f"{tmp_path}/{n}").first()[0]) for n in ("taxonomy", "audit")}
+    assert [i["label"] for i in made["taxonomy"]["intents"]] == ["baggage_issue", "other"] and made["taxonomy"]["intents"][0]["cluster_id"] == 0
+    assert [k["k"] for k in made["audit"]["k_sweep"]] == [3, 4] and made["audit"]["chosen_k"] == 1
+    assert made["audit"]["clusters"] == [{"cluster_id": 0, "label": "baggage_issue", "description": "Lost bags.", "size": 120, "representatives": ["m1", "m2"], "raw": "raw"}]
+
+
+def test_config(spark, tmp_path):
+    good = {
+        "project": {}, "providers": {"a": {"rpm": 30, "tpm": 6000}, "b": {"rpm": 1, "tpm": 1, "enabled": False}}, "roles": {"label": {"primary": {"provider": "a", "model": "m"}, "fallbacks": [{"provider": "b", "model": "n"}]}},
+        "embedding": {"model": "e", "dim": 384, "dtype": "float16"}, "data": {"split_quantile": 0.7, "near_duplicate_cosine": 0.95}, "golden": {"size": 200, "stratum_a": 100, "stratum_b": 100},
+    }
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps(good))
+    assert files.checked_config(str(path)) == good
+    assert [tuple(r)[:5] for r in files.roles_view(spark, good).collect()] == [("label", 0, "a", "m", True), ("label", 1, "b", "n", False)]
+    assert files.config_problems({k: v for k, v in good.items() if k != "data"}) == ["data is missing"]
+    harmed = json.loads(json.dumps(good))
+    harmed["providers"]["a"]["rpm"] = 0
+    harmed["roles"]["label"]["primary"]["provider"] = "c"
+    harmed["data"]["split_quantile"] = 1
+    harmed["golden"]["size"] = 150
+    path.write_text(json.dumps(harmed))
+    with pytest.raises(ValueError, match="rpm.*roles.label.provider.*split_quantile.*golden"):
+        files.checked_config(str(path))

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+# Reasoning blocks in answers.
 THINK = r"(?is)<think>.*?</think>"
 HARMONY = r"(?s)<\|channel\|>analysis<\|message\|>.*?(?:<\|end\|>|<\|start\|>)"
 _MARK = re.compile(r'\\.|["{}]', re.DOTALL)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from threadlake.functions.text import is_snake_case
 SCHEMA = "label string, description string, source string, risk_tier string, approx_share double, note string"
 TIERS = ("auto_ok", "review", "always_escalate")
 SOURCES = ("cluster", "keyword")
+ACTIONS = ("auto", "escalate")
+# Why a message is escalated.
+REASONS = ("high_risk_intent", "needs_account_access", "policy_or_compensation", "angry_or_repeat_contact", "ambiguous_request", "other")
 
 # The curated intents, with their tiers and shares.
 CURATED = [
@@ -45,23 +50,27 @@ def violations(intents: DataFrame) -> DataFrame:
         one("unknown_tier", intents.where(~F.coalesce(F.col("risk_tier").isin(*TIERS), F.lit(False))), F.col("label")),
         one("unknown_source", intents.where(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False))), F.col("label")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
-def share_violations(intents: DataFrame, within: float = 0.02) -> DataFrame:
-    """(rule, detail) for wrong shares (V7-V9): one outside 0 to 1, cluster shares that don't sum to 1 within ``within``, as they are a partition, or an
-    intent other than ``other`` without one. Keyword shares overlap, so that their sum says nothing. Without shares at all nothing is wrong."""
+def share_violations(intents: DataFrame, within: float = 0.03) -> DataFrame:
+    """(rule, detail) for wrong shares: one outside 0 to 1, or an intent other than ``other`` without one; cluster shares that don't sum to 1 within ``within``, as they are a partition (V7);
+    keyword shares that sum to 1 or more, as they overlap on a denominator of their own and must not pass for a partition (V8); and a listing of both whose shares sum to 1 or less, so that it would
+    pass for one (V9). Without shares at all nothing is wrong."""
     share = F.col("approx_share")
     given = intents.where(share.isNotNull())
-    total = given.where("source = 'cluster'").agg(F.round(F.sum("approx_share"), 6).alias("s"))
-    any_ = given.agg((F.count("*") > 0).alias("any"))  # one row
-    missing = intents.where(share.isNull() & (F.col("label") != "other")).crossJoin(F.broadcast(any_)).where("any")
+    of = lambda source: F.round(F.sum(F.when(F.col("source") == source, share)), 6)
+    sums = given.agg(of("cluster").alias("cluster"), of("keyword").alias("keyword"), F.round(F.sum(F.when(F.col("source").isin(*SOURCES), share)), 6).alias("both"))  # one row
+    missing = intents.where(share.isNull() & (F.col("label") != "other")).crossJoin(F.broadcast(given.agg((F.count("*") > 0).alias("any")))).where("any")
     rule = lambda name, rows, detail: rows.select(F.lit(name).alias("rule"), detail.cast("string").alias("detail"))
-    out = rule("share_out_of_range", given.where((share < 0) | (share > 1)), F.col("label"))
-    return out.unionByName(rule("cluster_shares_sum", total.where(F.abs(F.col("s") - 1) > within), F.col("s"))).unionByName(rule("no_share", missing, F.col("label")))
+    parts = [
+        rule("share_out_of_range", given.where((share < 0) | (share > 1)), F.col("label")),
+        rule("no_share", missing, F.col("label")),
+        rule("cluster_shares_sum", sums.where(F.abs(F.round(F.col("cluster") - 1, 6)) > within), F.col("cluster")),
+        rule("keyword_shares_sum", sums.where("keyword >= 1"), F.col("keyword")),
+        rule("all_shares_sum", sums.where("cluster IS NOT NULL AND keyword IS NOT NULL AND both <= 1"), F.col("both")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def shares(intents: DataFrame) -> DataFrame:
@@ -82,6 +91,37 @@ def action(chosen: Column, tier: Column) -> Column:
     return F.when(tier == "always_escalate", F.lit("escalate")).otherwise(chosen)
 
 
+def label_violations(labels: DataFrame, intents: DataFrame, id_col: str = "tweet_id") -> DataFrame:
+    """(rule, id) of label records that break a rule (L6): an intent that the taxonomy lacks, an action that there isn't, an intent that always escalates without it, an escalation without a reason
+    or with one that there isn't, a reason without an escalation. Records without intent and action aren't labelled yet and break none."""
+    known = F.broadcast(intents.select(F.col("label").alias("_label"), F.col("risk_tier").alias("_tier")))  # a hand-made table
+    rows = labels.where(F.col("label_intent").isNotNull() | F.col("label_action").isNotNull()).join(known, F.col("label_intent") == F.col("_label"), "left")
+    reason, escalated = F.coalesce("label_reason", F.lit("")), F.coalesce(F.col("label_action") == "escalate", F.lit(False))
+    rules = {
+        "unknown_intent": F.col("label_intent").isNotNull() & F.col("_label").isNull(),
+        "unknown_action": F.col("label_action").isNotNull() & ~F.col("label_action").isin(*ACTIONS),
+        "not_escalated": (F.col("_tier") == "always_escalate") & ~escalated,
+        "no_reason": escalated & (reason == ""),
+        "unknown_reason": escalated & (reason != "") & ~reason.isin(*REASONS),
+        "reason_without_escalation": ~escalated & (reason != ""),
+    }
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(wrong, F.lit(False)), F.lit(name)) for name, wrong in rules.items()]))
+    return rows.select(F.explode(broken).alias("rule"), F.col(id_col).alias("id"))
+
+
+def view(intents: DataFrame) -> DataFrame:
+    """(label, tier, source, share, description) to be read by people (L7): shares in percent with one place, a dash where there is none."""
+    share = F.when(F.col("approx_share").isNull(), F.lit("-")).otherwise(F.format_string("%.1f%%", F.col("approx_share") * 100))
+    return intents.select("label", F.col("risk_tier").alias("tier"), "source", share.alias("share"), "description")
+
+
+def summary(intents: DataFrame) -> DataFrame:
+    """One row below the view: (intents, cluster_total, always_escalate)."""
+    always = F.array_join(F.array_sort(F.collect_list(F.when(F.col("risk_tier") == "always_escalate", F.col("label")))), ", ")
+    total = F.coalesce(F.sum(F.when(F.col("source") == "cluster", F.col("approx_share"))), F.lit(0.0))
+    return intents.agg(F.count("*").alias("intents"), F.format_string("%.1f%%", total * 100).alias("cluster_total"), always.alias("always_escalate"))
+
+
 def always_escalate(intents: DataFrame) -> DataFrame:
     return intents.where(F.col("risk_tier") == "always_escalate").select("label")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
-from threadlake.functions.parsing import parse_label
+from threadlake.functions.parsing import error_detail, parse_label
 from threadlake.functions.vectors import l2_normalize
 from threadlake.operators import budget, clustering, graph, records, retrieval, sampling, screening, taxonomy, threads
 from threadlake.session import Scratch, table
@@ -445,25 +445,65 @@ def json_label_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", parse_label(raw).alias("p")).select("event_id", "p.label", "p.description")
 
 
-@query("SELECT 'cluster' AS source, 7::BIGINT AS n, 0.999::DOUBLE AS share UNION ALL SELECT 'keyword', 6, 0.271")
+_PREVALENT = "kt AS (SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(lower(text), '{p}')) AS {n}" for n, p in PATTERNS.items()) + " FROM documents)"
+
+
+@query(f"""WITH {_PREVALENT} SELECT 'cluster' AS source, count(DISTINCT label) AS n, 1.0::DOUBLE AS share FROM embeddings
+UNION ALL SELECT 'keyword', {len(PATTERNS)}, round({" + ".join(f"round({n} / total, 6)" for n in PATTERNS)}, 6) FROM kt""")
 def taxonomy_shares(spark, sf_dir):
-    return taxonomy.shares(taxonomy.curated(spark))
+    """Clusters of the embeddings share out their rows, keyword shares of the documents overlap."""
+    return taxonomy.shares(_measured(spark, sf_dir))
+
+
+def _measured(spark, sf_dir) -> DataFrame:
+    """A taxonomy of measured shares: the embeddings' labels and the documents' patterns."""
+    e = table(spark, sf_dir, "embeddings")
+    clusters = e.groupBy("label").agg(F.count("*").alias("n")).crossJoin(F.broadcast(e.agg(F.count("*").alias("total"))))  # one row
+    clusters = clusters.select(F.concat(F.lit("cluster_"), F.col("label").cast("string")).alias("label"), F.lit("cluster").alias("source"), (F.col("n") / F.col("total")).alias("approx_share"))
+    words = taxonomy.prevalence(table(spark, sf_dir, "documents"), "text", PATTERNS).select(F.col("bucket").alias("label"), F.lit("keyword").alias("source"), F.col("share").alias("approx_share"))
+    tier = F.when(F.col("label").isin("license", "cluster_3"), "always_escalate").when(F.col("source") == "cluster", "auto_ok").otherwise("review")
+    return clusters.unionByName(words).select("label", F.concat(F.lit("about "), F.col("label")).alias("description"), "source", tier.alias("risk_tier"), "approx_share", F.lit(None).cast("string").alias("note"))
+
+
+_MEASURED = f"""{_PREVALENT}, ms AS (SELECT 'cluster_' || label AS label, 'cluster' AS source, count(*) / sum(count(*)) OVER () AS share FROM embeddings GROUP BY label
+ UNION ALL {" UNION ALL ".join(f"SELECT '{n}', 'keyword', round({n} / total, 6) FROM kt" for n in PATTERNS)}),
+tx AS (SELECT *, 'about ' || label AS description, CASE WHEN label IN ('license', 'cluster_3') THEN 'always_escalate' WHEN source = 'cluster' THEN 'auto_ok' ELSE 'review' END AS tier FROM ms)"""
+
+
+@query(f"WITH {_MEASURED} SELECT label, tier, source, printf('%.1f%%', share * 100) AS share, description FROM tx")
+def taxonomy_view(spark, sf_dir):
+    return taxonomy.view(_measured(spark, sf_dir))
+
+
+@query(f"WITH {_MEASURED} SELECT count(*) AS intents, '100.0%' AS cluster_total, string_agg(label, ', ' ORDER BY label) FILTER (WHERE tier = 'always_escalate') AS always_escalate FROM tx")
+def taxonomy_summary(spark, sf_dir):
+    return taxonomy.summary(_measured(spark, sf_dir))
+
+
+@query(f"WITH {_MEASURED} SELECT string_agg('- ' || label || ': ' || description, chr(10) ORDER BY label) AS block FROM tx")
+def intent_prompt_block(spark, sf_dir):
+    return taxonomy.prompt_block(_measured(spark, sf_dir))
 
 
-# a taxonomy made of the events' types, with a fault of each kind planted by id
-_FAULTY = "CASE WHEN event_id = 1 THEN 'Bad Label' WHEN event_id IN (2, 3) THEN 'twice' ELSE 'intent_' || event_id END"
+@query(f"WITH {_MEASURED} SELECT label FROM tx WHERE tier = 'always_escalate'")
+def always_escalated(spark, sf_dir):
+    return taxonomy.always_escalate(_measured(spark, sf_dir))
+
+
+# a taxonomy made of all events, in which each twelfth has a fault of its kind
+_FAULTY = "CASE event_id % 12 WHEN 1 THEN 'Bad Label ' || event_id WHEN 2 THEN 'twice_' || (event_id // 12) WHEN 3 THEN 'twice_' || (event_id // 12) ELSE 'intent_' || event_id END"
+_SOURCE = "CASE WHEN event_id % 12 = 4 THEN 'guess' WHEN event_id % 12 <= 8 THEN 'cluster' ELSE 'keyword' END"
+_TIER = "CASE WHEN event_id % 12 = 5 THEN 'maybe' WHEN event_id % 12 = 8 THEN 'always_escalate' ELSE 'review' END"
+_SHARE = "CASE event_id % 12 WHEN 6 THEN 1.5 WHEN 7 THEN NULL ELSE 0.125 END"
+_BAD = f"t AS (SELECT event_id, {_FAULTY} AS label, {_SOURCE} AS source, {_TIER} AS tier, CAST({_SHARE} AS DOUBLE) AS share FROM events)"
 
 
 def _faulty(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id BETWEEN 1 AND 12")
-    return e.select(
-        F.expr(_FAULTY).alias("label"), F.col("event_type").alias("description"), F.expr("CASE WHEN event_id = 4 THEN 'guess' WHEN event_id <= 8 THEN 'cluster' ELSE 'keyword' END").alias("source"),
-        F.expr("CASE WHEN event_id = 5 THEN 'maybe' ELSE 'review' END").alias("risk_tier"), F.expr("CASE WHEN event_id = 6 THEN 1.5D WHEN event_id = 7 THEN NULL ELSE 0.1D END").alias("approx_share"), F.lit(None).cast("string").alias("note"),
-    )
+    cols = {"label": _FAULTY.replace("//", "div"), "description": "event_type", "source": _SOURCE, "risk_tier": _TIER, "approx_share": f"CAST({_SHARE} AS DOUBLE)", "note": "CAST(NULL AS STRING)"}
+    return table(spark, sf_dir, "events").select(*[F.expr(e).alias(n) for n, e in cols.items()])
 
 
-@query(f"""WITH t AS (SELECT {_FAULTY} AS label, CASE WHEN event_id = 4 THEN 'guess' WHEN event_id <= 8 THEN 'cluster' ELSE 'keyword' END AS source, CASE WHEN event_id = 5 THEN 'maybe' ELSE 'review' END AS tier FROM events WHERE event_id BETWEEN 1 AND 12)
-SELECT 'repeated_label' AS rule, label AS detail FROM t GROUP BY label HAVING count(*) > 1
+@query(f"""WITH {_BAD} SELECT 'repeated_label' AS rule, label AS detail FROM t GROUP BY label HAVING count(*) > 1
 UNION ALL SELECT 'no_other', '0' WHERE NOT EXISTS (SELECT 1 FROM t WHERE label = 'other')
 UNION ALL SELECT 'not_snake_case', label FROM t WHERE NOT regexp_full_match(label, '[a-z][a-z0-9_]*')
 UNION ALL SELECT 'unknown_tier', label FROM t WHERE tier NOT IN ('auto_ok', 'review', 'always_escalate')
@@ -472,14 +512,115 @@ def taxonomy_validation(spark, sf_dir):
     return taxonomy.violations(_faulty(spark, sf_dir))
 
 
-@query("""WITH t AS (SELECT event_id, CASE WHEN event_id = 4 THEN 'guess' WHEN event_id <= 8 THEN 'cluster' ELSE 'keyword' END AS source, CASE WHEN event_id = 6 THEN 1.5 WHEN event_id = 7 THEN NULL ELSE 0.1 END::DOUBLE AS share FROM events WHERE event_id BETWEEN 1 AND 12)
-SELECT 'share_out_of_range' AS rule, 'intent_' || event_id AS detail FROM t WHERE share NOT BETWEEN 0 AND 1
-UNION ALL SELECT 'cluster_shares_sum', CAST(round(sum(share), 6) AS VARCHAR) FROM t WHERE source = 'cluster' HAVING abs(sum(share) - 1) > 0.02
-UNION ALL SELECT 'no_share', 'intent_' || event_id FROM t WHERE share IS NULL""")
+@query(f"""WITH {_BAD}, k AS (SELECT sum(share) FILTER (WHERE source = 'cluster') AS c, sum(share) FILTER (WHERE source = 'keyword') AS w FROM t)
+SELECT 'share_out_of_range' AS rule, label AS detail FROM t WHERE share NOT BETWEEN 0 AND 1 UNION ALL SELECT 'no_share', label FROM t WHERE share IS NULL AND label <> 'other'
+UNION ALL SELECT 'cluster_shares_sum', CAST(c AS VARCHAR) FROM k WHERE c NOT BETWEEN 0.97 AND 1.03 UNION ALL SELECT 'keyword_shares_sum', CAST(w AS VARCHAR) FROM k WHERE w >= 1
+UNION ALL SELECT 'all_shares_sum', CAST(c + w AS VARCHAR) FROM k WHERE c + w <= 1""")
 def taxonomy_share_rules(spark, sf_dir):
     return taxonomy.share_violations(_faulty(spark, sf_dir))
 
 
+@query("SELECT count(*) AS too_few FROM (SELECT event_id FROM events WHERE event_id = (SELECT min(event_id) FROM events))")
+def taxonomy_too_few(spark, sf_dir):
+    """V4: a taxonomy of the first event alone has one intent."""
+    one = _faulty(spark, sf_dir).orderBy("label").limit(1)
+    return taxonomy.violations(one).where("rule = 'too_few'").agg(F.count("*").alias("too_few"))
+
+
+# label records of all events: intents of the measured taxonomy and one it lacks, actions and reasons with faults
+_REASON = "CASE event_id % 5 WHEN 0 THEN 'high_risk_intent' WHEN 1 THEN '' WHEN 2 THEN 'mood' WHEN 3 THEN 'other' END"
+_INTENT = "CASE event_id % 7 WHEN 0 THEN 'cluster_3' WHEN 1 THEN 'license' WHEN 2 THEN 'nowhere' WHEN 3 THEN NULL ELSE 'cluster_1' END"
+_ACTION = "CASE event_id % 4 WHEN 0 THEN 'escalate' WHEN 1 THEN 'auto' WHEN 2 THEN 'wait' END"
+_RECORDS = f"r AS (SELECT event_id AS id, {_INTENT} AS intent, {_ACTION} AS action, coalesce({_REASON}, '') AS reason FROM events), l AS (SELECT r.*, tx.label AS known, tx.tier, coalesce(action = 'escalate', FALSE) AS esc FROM r LEFT JOIN tx ON intent = label WHERE intent IS NOT NULL OR action IS NOT NULL)"
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("tweet_id"), F.expr(_INTENT).alias("label_intent"), F.expr(_ACTION).alias("label_action"), F.expr(_REASON).alias("label_reason"))
+
+
+@query(f"""WITH {_MEASURED}, {_RECORDS} SELECT 'unknown_intent' AS rule, id FROM l WHERE intent IS NOT NULL AND known IS NULL UNION ALL SELECT 'unknown_action', id FROM l WHERE action NOT IN ('auto', 'escalate')
+UNION ALL SELECT 'not_escalated', id FROM l WHERE tier = 'always_escalate' AND NOT esc UNION ALL SELECT 'no_reason', id FROM l WHERE esc AND reason = ''
+UNION ALL SELECT 'unknown_reason', id FROM l WHERE esc AND reason = 'mood' UNION ALL SELECT 'reason_without_escalation', id FROM l WHERE NOT esc AND reason <> ''""")
+def label_rules(spark, sf_dir):
+    return taxonomy.label_violations(_records(spark, sf_dir), _measured(spark, sf_dir))
+
+
+@query(f"WITH {_MEASURED}, {_RECORDS} SELECT id AS tweet_id, tier AS risk_tier, CASE WHEN tier = 'always_escalate' THEN 'escalate' ELSE action END AS action FROM r LEFT JOIN tx ON intent = label WHERE coalesce(intent, '') <> 'nowhere'")
+def tier_and_action(spark, sf_dir):
+    """The intent's tier, and the action that it forces."""
+    known = _records(spark, sf_dir).where(F.coalesce("label_intent", F.lit("")) != "nowhere")
+    rows = taxonomy.with_tier(known, _measured(spark, sf_dir))
+    return rows.select("tweet_id", "risk_tier", taxonomy.action(F.col("label_action"), F.col("risk_tier")).alias("action"))
+
+
+def _guarded(text: str) -> str:
+    """Lower-cased text in which letters beyond ASCII are word characters to RE2 as well."""
+    return f"regexp_replace(lower({text}), '([^\\x00-\\x7F])', '{_GUARD}\\1{_GUARD}', 'g')"
+
+
+@query(f"WITH g AS (SELECT doc_id, {_guarded('text')} AS t FROM documents) SELECT doc_id, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{n}' END" for n, p in T.BUCKETS.items())}], lambda x: x IS NOT NULL), ',') AS buckets FROM g")
+def pattern_buckets(spark, sf_dir):
+    """all eleven patterns over all texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.matched_buckets(F.col("text")), ",").alias("buckets"))
+
+
+@query("""SELECT conv_id, turn, sha256('{"model":"' || role || '","provider":"p' || (conv_id % 3) || '","temperature":' || turn || '}') AS key FROM conversations""")
+def call_keys(spark, sf_dir):
+    """F12."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", T.cache_key(provider=F.concat(F.lit("p"), (F.col("conv_id") % 3).cast("string")), model=F.col("role"), temperature=F.col("turn")).alias("key"))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """(conv_id, texts) in the order of the turns."""
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+
+
+@query("SELECT conv_id, substr(sha256('m' || chr(0) || 'float16' || chr(0) || count(*) || chr(0) || string_agg(sha256(coalesce(text, chr(0))), chr(0) ORDER BY turn)), 1, 16) AS key FROM conversations GROUP BY conv_id")
+def text_set_keys(spark, sf_dir):
+    """F13."""
+    return _turns(spark, sf_dir).select("conv_id", T.content_hash(F.col("texts"), "m").alias("key"))
+
+
+@query("SELECT conv_id, 'system' AS first_role, 'Of ' || count(*) || ':' || chr(10) || string_agg((turn + 1) || '. ' || coalesce(text, ''), chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
+def label_prompts(spark, sf_dir):
+    """F20 over the conversations' turns, which count from 0 without gaps."""
+    p = T.label_prompt(F.col("texts"), "s", "Of {n}:\n{messages}")
+    return _turns(spark, sf_dir).select("conv_id", p.alias("p")).select("conv_id", F.col("p")[0]["role"].alias("first_role"), F.col("p")[1]["content"].alias("content"))
+
+
+@query("""SELECT event_id, left(CASE event_id % 4 WHEN 0 THEN '429 slow down ' || event_id || ' [' || event_type || ']' WHEN 1 THEN '500 just ' || event_type WHEN 2 THEN '502 <html>' || repeat('x', event_id % 300) ELSE '400 {"error": "broken"}' END, CASE WHEN event_id % 4 = 2 THEN 164 ELSE 160 END) AS detail FROM events""")
+def provider_errors(spark, sf_dir):
+    """F22."""
+    e = table(spark, sf_dir, "events")
+    body = F.expr("""CASE event_id % 4 WHEN 0 THEN '{"error": {"message": "slow down ' || event_id || '", "type": "' || event_type || '"}}' WHEN 1 THEN '{"message": "just ' || event_type || '"}'
+        WHEN 2 THEN '<html>' || repeat('x', CAST(event_id % 300 AS INT)) ELSE '{"error": "broken"}' END""")
+    status = F.expr("CASE event_id % 4 WHEN 0 THEN 429 WHEN 1 THEN 500 WHEN 2 THEN 502 ELSE 400 END")
+    return e.select("event_id", error_detail(status, body).alias("detail"))
+
+
+@query("SELECT doc_id % 3 AS stratum, count(*) AS n, round(avg((quality = toxic)::INT), 6) AS accuracy FROM labels WHERE quality IS NOT NULL GROUP BY 1")
+def accuracy_by_stratum(spark, sf_dir):
+    """U3."""
+    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 3).alias("stratum"), F.col("quality").alias("label_intent"), F.col("toxic").alias("predicted"))
+    return records.per_stratum(rows)
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE quality = toxic) / count(*) AS po FROM labels),
+pe AS (SELECT sum(a.x * b.y) / (SELECT n * n FROM n) AS pe FROM (SELECT quality AS l, count(*) AS x FROM labels GROUP BY 1) a JOIN (SELECT toxic AS l, count(*) AS y FROM labels GROUP BY 1) b USING (l))
+SELECT n, round((po - pe) / (1 - pe), 6) AS kappa FROM n, pe""")
+def rater_kappa(spark, sf_dir):
+    """U4."""
+    return records.kappa(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+@query("SELECT event_type || '/' || (user_id % 3) AS model, count(*) AS n FROM events GROUP BY 1")
+def calls_by_model(spark, sf_dir):
+    """A4."""
+    return records.calls_by_model(table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), (F.col("user_id") % 3).cast("string").alias("model")))
+
+
 @query(f"{_strata_sql(PATTERNS)} SELECT stratum, sample_reason, count(*) AS n FROM drawn GROUP BY ALL")
 def sample_reason_totals(spark, sf_dir):
     return sampling.counts_by_reason(stratified_round_robin(spark, sf_dir))

@@ -87,11 +87,26 @@ def taxonomy_json(clusters: DataFrame) -> DataFrame:
     """One JSON text: the intents by cluster, then ``other``, and how many clusters there were. Columns: cluster_id, label, description, size."""
     intent = F.struct("cluster_id", "label", "description", "size")
     every = clusters.agg(F.array_sort(F.collect_list(intent)).alias("found"), F.count("*").alias("chosen_k"))
-    other = F.array(F.struct(F.lit("other").alias("label"), F.lit("Does not fit any intent above.").alias("description")))
-    intents = F.concat(F.transform("found", lambda x: F.struct(x["label"].alias("label"), x["description"].alias("description"))), other)
+    other = F.array(F.struct(F.lit("other").alias("label"), F.lit("Does not fit any intent above.").alias("description"), F.lit(None).cast("int").alias("cluster_id")))
+    intents = F.concat(F.transform("found", lambda x: F.struct(x["label"].alias("label"), x["description"].alias("description"), x["cluster_id"].cast("int").alias("cluster_id"))), other)
     return every.select(F.to_json(F.struct(intents.alias("intents"), "chosen_k")).alias("taxonomy"))
 
 
+def audit_json(clusters: DataFrame, sweep: DataFrame) -> DataFrame:
+    """One JSON text that shows what a taxonomy comes from (S9): the sweep by k, how many clusters were chosen, and each cluster with its size, representatives and the model's raw answer. As many
+    rows as there are k and clusters are brought together."""
+    fields = [c for c in ("cluster_id", "label", "description", "size", "representatives", "raw", "cause") if c in clusters.columns]
+    of_sweep = sweep.agg(F.array_sort(F.collect_list(F.struct("k", "silhouette", "inertia"))).alias("k_sweep"))
+    of_clusters = clusters.agg(F.count("*").alias("chosen_k"), F.array_sort(F.collect_list(F.struct(*fields))).alias("clusters"))
+    return of_sweep.crossJoin(F.broadcast(of_clusters)).select(F.to_json(F.struct("k_sweep", "chosen_k", "clusters")).alias("audit"))  # one row each
+
+
+def write_taxonomy(clusters: DataFrame, sweep: DataFrame, path: str) -> None:
+    """The proposal and its audit as two folders of a text file each, ``taxonomy`` and ``audit``."""
+    for name, one in (("taxonomy", taxonomy_json(clusters)), ("audit", audit_json(clusters, sweep))):
+        one.coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
 def load_config(path: str) -> dict:
     """A JSON file, or YAML where that library is installed."""
     with open(path, encoding="utf-8") as f:
@@ -104,6 +119,61 @@ def load_config(path: str) -> dict:
         return yaml.safe_load(text)
 
 
+CONFIG = {"project": dict, "providers": dict, "roles": dict, "embedding": dict, "data": dict, "golden": dict}
+
+
+def config_problems(config: dict) -> list[str]:
+    """All that is wrong with a configuration (S10); empty if it can be used."""
+    bad = [f"{name} is missing" for name in CONFIG if name not in config]
+    bad += [f"{name} isn't a mapping" for name, kind in CONFIG.items() if name in config and not isinstance(config[name], kind)]
+    if bad:
+        return bad
+    number = lambda x: isinstance(x, int | float) and not isinstance(x, bool)
+
+    def check(where: str, value, ok: bool, want: str) -> None:
+        if not ok:
+            bad.append(f"{where} is {value!r}, not {want}")
+
+    for name, p in config["providers"].items():
+        for limit in ("rpm", "tpm"):
+            check(f"providers.{name}.{limit}", p.get(limit), number(p.get(limit)) and p[limit] > 0, "a positive number")
+    for name, role in config["roles"].items():
+        chain = [role.get("primary"), *role.get("fallbacks", [])]
+        for ref in chain:
+            whole = isinstance(ref, dict) and {"provider", "model"} <= ref.keys()
+            check(f"roles.{name}", ref, whole, "a provider and a model")
+            if whole:
+                check(f"roles.{name}.provider", ref["provider"], ref["provider"] in config["providers"], f"one of {sorted(config['providers'])}")
+    e, d, g = config["embedding"], config["data"], config["golden"]
+    check("embedding.model", e.get("model"), isinstance(e.get("model"), str) and e["model"] != "", "a name")
+    check("embedding.dim", e.get("dim"), isinstance(e.get("dim"), int) and e["dim"] > 0, "a positive whole number")
+    check("embedding.dtype", e.get("dtype"), e.get("dtype") in ("float16", "float32", "float64"), "a type of floating-point numbers")
+    check("data.split_quantile", d.get("split_quantile"), number(d.get("split_quantile")) and 0 < d["split_quantile"] < 1, "between 0 and 1")
+    check("data.near_duplicate_cosine", d.get("near_duplicate_cosine"), number(d.get("near_duplicate_cosine")) and 0 < d["near_duplicate_cosine"] <= 1, "above 0 and at most 1")
+    sizes = [g.get(k) for k in ("size", "stratum_a", "stratum_b")]
+    check("golden", g, all(isinstance(x, int) and x >= 0 for x in sizes) and sizes[0] == sizes[1] + sizes[2], "a size that is the sum of both strata")
+    return bad
+
+
+def checked_config(path: str) -> dict:
+    """``load_config``; raises ValueError, with all that is wrong."""
+    config = load_config(path)
+    problems = config_problems(config) if isinstance(config, dict) else ["it isn't a mapping"]
+    if problems:
+        raise ValueError(f"{path}: " + "; ".join(problems))
+    return config
+
+
+def roles_view(spark: SparkSession, config: dict) -> DataFrame:
+    """(role, place, provider, model, enabled, rpm, tpm): each role's chain in its order."""
+    rows = []
+    for name, role in config["roles"].items():
+        for place, ref in enumerate([role["primary"], *role.get("fallbacks", [])]):
+            p = config["providers"][ref["provider"]]
+            rows.append((name, place, ref["provider"], ref["model"], bool(p.get("enabled", True)), float(p["rpm"]), float(p["tpm"])))
+    return spark.createDataFrame(rows, "role string, place int, provider string, model string, enabled boolean, rpm double, tpm double")
+
+
 def embed_cached(texts: DataFrame, cache: DataFrame | None, embed: Callable[[DataFrame], DataFrame], model: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts with ``embedding``, the new cache rows). The cache is keyed by the text's hash; only misses reach ``embed``, which adds a column ``embedding``."""
     keyed = texts.withColumn("key", F.sha2(F.concat_ws("\0", F.lit(model), F.coalesce(F.col(text_col), F.lit(""))), 256))
