@@ -1,11 +1,13 @@
 """Packing documents into fixed-length sequences by a grouping genetic algorithm on islands.
 
 Texts are tokenised once, map-side, into pieces of at most ``capacity`` ids; only the pieces' lengths and checksums move.
-Pieces are dealt by hash into blocks of about ``BLOCK`` pieces, so that work grows in proportion to the input and no task
+The search starts from one best-fit-decreasing packing of all pieces. That needs no more than how often each length occurs, at most ``capacity`` numbers: bins of the same
+contents are counted, not listed, and each piece learns its bin from its number among those of its length.
+Whole bins of this packing are dealt by hash into blocks of about ``BLOCK`` pieces, so that work grows in proportion to the input and no task
 holds more than a block. Each block is packed on several islands, rows of one table that any executor can take: an island
-evolves packings whose genes are whole bins (Falkenauer's grouping genetic algorithm with replacement), and between the epochs each
-island's elite is sent on to the next island by a join. Bins that best fit has filled to the last place are closed beforehand, so that
-the search spends its time on the rest. The best packing of each block gives the sequences.
+evolves packings whose genes are whole bins (Falkenauer's grouping genetic algorithm with replacement), the block's own bins among them, and between the epochs each
+island's elite is sent on to the next island by a join. The best packing of each block is never worse than the bins it was dealt. All bins that are not full to the last place, of all blocks,
+are then dealt into fewer blocks and packed again, until they are one block; so there are never more sequences than one best fit of everything needs.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from threadlake.session import Scratch
 BLOCK = 3072
 ROWS_PER_TASK = 6  # islands that a task evolves; their rows are so small that Spark would put them all in one task
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 3, 5, 6
-OPEN = 400  # pieces of a block that the search moves at least
+OPEN = 500  # pieces of a block that the search moves at least
 SPECIAL = {"<|endoftext|>": 50256}  # the only one of byte_bpe_50k.json; the rank file has none
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -207,9 +209,8 @@ def evolve(population: list[list[list[int]]], sizes: list[int], capacity: int, g
     return [p for _, _, p in ranked]
 
 
-def closed(sizes: list[int], capacity: int, free: int = OPEN) -> list[list[int]]:
-    """Bins of the best-fit packing that are full to the last place, but for some so that at least ``free`` pieces stay in play. The same on every island."""
-    bins = best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, capacity)
+def closed(bins: list[list[int]], sizes: list[int], capacity: int, free: int = OPEN) -> list[list[int]]:
+    """Those of the bins that are full to the last place, but for some so that at least ``free`` pieces stay in play. The same on every island."""
     full = [x for x in bins if sum(sizes[i] for i in x) == capacity]
     full.sort(key=lambda x: (len(x), x))  # single pieces first, which nothing can improve
     left = len(sizes) - sum(map(len, full))
@@ -218,9 +219,9 @@ def closed(sizes: list[int], capacity: int, free: int = OPEN) -> list[list[int]]
     return full
 
 
-def search(elites: list[list[int]], sizes: list[int], capacity: int, generations: int, size: int, rng: random.Random) -> list[list[list[int]]]:
-    """``evolve`` over the pieces outside closed bins; ``elites`` and the result are packings of all pieces, the closed bins first."""
-    full = closed(sizes, capacity)
+def search(elites: list[list[int]], sizes: list[int], capacity: int, generations: int, size: int, rng: random.Random, seed: list[int] | None = None) -> list[list[list[int]]]:
+    """``evolve`` over the pieces outside the closed bins of ``seed``, a packing (by default best fit's); ``elites`` and the result are packings of all pieces, the closed bins first."""
+    full = closed(best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, capacity) if seed is None else unflat(seed), sizes, capacity)
     inside = {i for x in full for i in x}
     open_ = [i for i in range(len(sizes)) if i not in inside]
     name = {i: n for n, i in enumerate(open_)}
@@ -244,7 +245,80 @@ def unflat(flat_bins: list[int]) -> list[list[int]]:
     return list(out.values())
 
 
-ISLAND = "block long, island int, sizes array<int>, elite array<array<int>>, bins int, fill double"
+def patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """(contents, how many bins) of the best-fit-decreasing packing of ``counts`` pieces by length; contents are (length, how many). Equal bins are one group throughout, of which a
+    length splits two at most, so that there are no more than a few groups per length however many pieces there are."""
+    by_room: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
+    mask = 0
+
+    def keep(contents, n: int, room: int) -> None:
+        nonlocal mask
+        if n:
+            by_room.setdefault(room, []).append((contents, n))
+            mask |= (1 << room) if room else 0
+
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            fits = mask >> size
+            if fits:  # the fullest bins that the length fits in; each takes as many as it can, as it is then the fullest
+                room = size + (fits & -fits).bit_length() - 1
+                contents, n = by_room[room].pop()
+                if not by_room[room]:
+                    mask ^= 1 << room
+            else:
+                room, contents, n = capacity, (), -(-left // (capacity // size))
+            each = room // size
+            whole = min(n, left // each)
+            keep((*contents, (size, each)), whole, room - each * size)
+            left -= whole * each
+            n -= whole
+            if left and n:
+                keep((*contents, (size, left)), 1, room - left * size)
+                left, n = 0, n - 1
+            if contents:
+                keep(contents, n, room)
+    return [group for groups in by_room.values() for group in groups]
+
+
+def _bins(counts: dict[int, int], capacity: int):
+    """Adds to pieces (doc_id, piece, start, length, ids_crc32, nth) the number of their bin in the best-fit packing."""
+    slots: dict[int, list[tuple[int, int, int]]] = {}
+    used, base = dict.fromkeys(counts, 0), 0
+    for contents, n in patterns(counts, capacity):
+        for size, each in contents:
+            slots.setdefault(size, []).append((used[size], base, each))
+            used[size] += n * each
+        base += n
+    held = {size: np.array(x, np.int64).T for size, x in slots.items()}
+
+    def run(batches):
+        for batch in batches:
+            length, nth = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
+            bins = np.empty(len(length), np.int64)
+            for size in np.unique(length):
+                mine = length == size
+                first, base, each = held[int(size)]
+                at = np.searchsorted(first, nth[mine], side="right") - 1
+                bins[mine] = base[at] + (nth[mine] - first[at]) // each[at]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins)], [*batch.schema.names[:5], "bin"])
+
+    return run
+
+
+def _seeded(cut: DataFrame, capacity: int, block: int) -> DataFrame:
+    """The pieces with their bin in one best-fit packing of all. A length that many pieces share is numbered in parts, whose beginnings are sums of the counts before."""
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    parts = max(1, -(-sum(counts.values()) // (4 * block)))
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(parts)))
+    sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    numbered = dealt.withColumn("place", place).join(sizes.select("length", "part", before.alias("before")), ["length", "part"])
+    return numbered.select(*cut.columns, (F.col("place") + F.col("before")).cast("long").alias("nth")).mapInArrow(_bins(counts, capacity), f"{PIECES}, bin long")
+
+
+ISLAND = "block long, island int, sizes array<int>, seed array<int>, elite array<array<int>>, bins int, fill double"
 
 
 def _epoch(epoch: int, capacity: int, generations: int, size: int):
@@ -254,26 +328,28 @@ def _epoch(epoch: int, capacity: int, generations: int, size: int):
             for r in batch.to_pylist():
                 rng = random.Random(f"{r['block']} {r['island']} {epoch}")
                 sizes = r["sizes"]
-                found = search(r["elite"] or [], sizes, capacity, generations, size, rng)
+                found = search(r["elite"] or [r["seed"]], sizes, capacity, generations, size, rng, r["seed"])
                 bins, fill = fitness(found[0], sizes, capacity)
-                out.append({"block": r["block"], "island": r["island"], "sizes": sizes, "elite": [flat(x, len(sizes)) for x in found[:2]], "bins": bins, "fill": fill})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int32())), ("elite", pa.list_(pa.list_(pa.int32()))), ("bins", pa.int32()), ("fill", pa.float64())]))
+                out.append({"block": r["block"], "island": r["island"], "sizes": sizes, "seed": r["seed"], "elite": [flat(x, len(sizes)) for x in found[:2]], "bins": bins, "fill": fill})
+            numbers = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("island", pa.int32()), ("sizes", numbers), ("seed", numbers), ("elite", pa.list_(numbers)), ("bins", pa.int32()), ("fill", pa.float64())]))
 
     return run
 
 
-def _packed(scratch: Scratch, name: str, cut: DataFrame, count: int, first_block: int, capacity: int, block: int, islands: int, epochs: int, generations: int) -> tuple[DataFrame, int]:
-    """The pieces with the block and bin that they are put in, and that bin's fill; and how many blocks there are."""
-    blocks = max(1, math.ceil(count / block))
-    dealt = cut.withColumn("block", (F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)) + first_block).cast("long"))
-    item = F.struct((-F.col("length")).alias("key"), "doc_id", "piece", "start", "ids_crc32")
-    held = dealt.groupBy("block").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    held = scratch.table(held, f"{name}-blocks")
-    state = held.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.transform("items", lambda x: (-x["key"]).cast("int")).alias("sizes"), F.lit(None).cast("array<array<int>>").alias("elite"))
+def _packed(scratch: Scratch, name: str, dealt: DataFrame, first_block: int, blocks: int, capacity: int, islands: int, epochs: int, generations: int) -> DataFrame:
+    """The pieces, which come with a bin, with the block and bin that they are put in, and that bin's fill."""
+    dealt = dealt.withColumn("block", (F.pmod(F.xxhash64("bin"), F.lit(blocks)) + first_block).cast("long"))
+    item = F.struct((-F.col("length")).alias("key"), "doc_id", "piece", "start", "ids_crc32", "bin")
+    held = scratch.table(dealt.groupBy("block").agg(F.sort_array(F.collect_list(item)).alias("items")), f"{name}-blocks")
+    seed = F.transform(F.transform("items", lambda x: x["bin"]), lambda b: F.array_position(F.array_distinct("bins"), b).cast("int"))
+    state = held.withColumn("bins", F.transform("items", lambda x: x["bin"])).select(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.transform("items", lambda x: (-x["key"]).cast("int")).alias("sizes"), seed.alias("seed"), F.lit(None).cast("array<array<int>>").alias("elite")
+    )
     state = scratch.table(state.repartition(math.ceil(blocks * islands / ROWS_PER_TASK), "block", "island").mapInArrow(_epoch(0, capacity, generations, POPULATION), ISLAND), f"{name}-epoch-0")
     for e in range(1, epochs):
         sent = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("elite").alias("guests"))
-        met = state.join(sent, ["block", "island"]).select("block", "island", "sizes", F.concat("elite", "guests").alias("elite"))
+        met = state.join(sent, ["block", "island"]).select("block", "island", "sizes", "seed", F.concat("elite", "guests").alias("elite"))
         state = scratch.table(met.mapInArrow(_epoch(e, capacity, generations, POPULATION), ISLAND), f"{name}-epoch-{e}")
         scratch.drop(f"{name}-epoch-{e - 1}")
     best = state.groupBy("block").agg(F.min_by(F.col("elite")[0], F.struct("bins", "fill", "island")).alias("bin"))
@@ -281,8 +357,8 @@ def _packed(scratch: Scratch, name: str, cut: DataFrame, count: int, first_block
     rows = rows.select("block", F.col("x.bin").alias("bin"), F.col("x.items.doc_id").alias("doc_id"), F.col("x.items.piece").alias("piece"), F.col("x.items.start").alias("start"), (-F.col("x.items.key")).alias("length"), F.col("x.items.ids_crc32").alias("ids_crc32"))
     # a sequence has at most ``capacity`` pieces
     before = Window.partitionBy("block", "bin").orderBy(F.desc("length"), "doc_id", "piece", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
-    return rows.withColumn("fill", F.sum("length").over(Window.partitionBy("block", "bin"))), blocks
+    rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))).withColumn("fill", F.sum("length").over(Window.partitionBy("block", "bin")))
+    return scratch.table(rows.withColumn("bin", F.col("block") * F.lit(2**32) + F.col("bin")), f"{name}-rows")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, ranks_path: str | None = None, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
@@ -290,16 +366,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     ``start`` counts the document's ids before the piece, ``offset`` the sequence's. Every text ends with ``end_id``; a null
     text is an empty one, that is one piece of length 1. Null ids, repeated ids and repeated rows are packed like any others.
-    An empty table gives an empty result. What the blocks leave in bins under 98 % full is packed once more together, in
-    blocks of its own.
+    An empty table gives an empty result. There are never more sequences than one best-fit-decreasing packing of all pieces has.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     cut = scratch.table(pieces(docs, id_col, text_col, capacity, end_id, ranks_path), "pieces")
-    options = {"capacity": capacity, "block": block, "islands": islands, "epochs": epochs, "generations": generations}
-    rows, blocks = _packed(scratch, "first", cut, cut.count(), 0, **options)
-    if blocks > 1:
-        rows = scratch.table(rows, "first-rows")
-        over = F.col("fill") < 0.98 * capacity
-        again = rows.where(over).select(*cut.columns)
-        rows = rows.where(~over).unionByName(_packed(scratch, "rest", again, again.count(), blocks, **options)[0])
-    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("block") * F.lit(2**32) + F.col("bin")).alias("sequence_id"), "offset")
+    seeded = scratch.table(_seeded(cut, capacity, block), "seeded")
+    alone = F.col("length") == capacity  # a sequence of its own
+    out = seeded.where(alone).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("bin")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    open_, level, first = seeded.where(~alone), 0, 0
+    left = open_.count()
+    while left:
+        blocks = max(1, math.ceil(left / block))
+        rows = _packed(scratch, f"level-{level}", open_, first, blocks, capacity, islands, epochs, generations)
+        full = F.col("fill") == capacity
+        open_ = rows.where(~full)
+        before, left = left, open_.count()
+        if blocks == 1 or 2 * left > before:  # all in one block, or lengths that fill few bins to the last place wherever they are
+            full, left = F.lit(True), 0
+        out = out.unionByName(rows.where(full).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset"))
+        level, first = level + 1, first + blocks
+    return out
