@@ -144,10 +144,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     often = scratch.table(runs.totals().where(F.col("n_docs") >= in_docs), "often")
     runs.drop()
 
-    # a key may be in a third of all documents: both sides are salted
+    # a key may be in a third of all documents: both sides are salted. Spark doesn't see that the salted table is 16 times the one it is made of, and would broadcast it
     salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
     keys = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    gone = held.withColumn("salt", salt).join(keys, ["hi", "lo", "salt"]).where("doc <> last_doc")
+    gone = held.withColumn("salt", salt).join(keys.hint("merge"), ["hi", "lo", "salt"]).where("doc <> last_doc")
     doc_, gone_, kept_ = (free_name(n, docs.columns) for n in ("_doc", "_gone", "_kept"))
     lines_, dropped_ = (free_name(n, docs.columns) for n in ("_lines", "_dropped"))
     gone = gone.groupBy("doc").agg(F.collect_set(F.struct("hi", "lo")).alias(gone_)).withColumnRenamed("doc", doc_)
