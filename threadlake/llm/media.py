@@ -212,10 +212,10 @@ def build_store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     refs = scratch.table(rows.mapInArrow(_refs, REFS), "refs")
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "rid", "i")
     many = refs.groupBy("digest").agg(F.min(place).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
-    # a chunk may be in a third of all documents: both sides are salted
+    # a chunk may be in a third of all documents: both sides are salted. Spark doesn't see that the salted table is 16 times the one it is made of, and would broadcast it
     salt = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(16)).cast("int")
     many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    met = refs.withColumn("salt", salt).join(many, ["digest", "salt"])
+    met = refs.withColumn("salt", salt).join(many.hint("merge"), ["digest", "salt"])
     role = met.groupBy("doc_id", "rid").agg(F.collect_set(F.when(place != F.col("owner"), F.col("i"))).alias("gone"), F.collect_set(F.when(place == F.col("owner"), F.col("i"))).alias("lend"))
     role = scratch.table(role.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "gone", "lend"), "role")
     scratch.drop("refs")
