@@ -7,7 +7,7 @@ Whole bins of this packing are dealt by hash into blocks of about ``BLOCK`` piec
 holds more than a block. Each block is packed on several islands, rows of one table that any executor can take: an island
 evolves packings whose genes are whole bins (Falkenauer's grouping genetic algorithm with replacement), the block's own bins among them, and between the epochs each
 island's elite is sent on to the next island by a join. The best packing of each block is never worse than the bins it was dealt. All bins that are not full to the last place, of all blocks,
-are then dealt into fewer blocks and packed again, until they are one block; so there are never more sequences than one best fit of everything needs.
+are then dealt into blocks of about ``REST`` pieces and packed again, until they are one block; so there are never more sequences than one best fit of everything needs.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from threadlake.session import Scratch
 
 BLOCK = 3072
+REST = 768  # pieces of a block of what isn't full, all of which the search moves
 ROWS_PER_TASK = 6  # islands that a task evolves; their rows are so small that Spark would put them all in one task
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 3, 5, 6
 OPEN = 500  # pieces of a block that the search moves at least
@@ -318,7 +319,7 @@ def _seeded(cut: DataFrame, capacity: int, block: int) -> DataFrame:
     return numbered.select(*cut.columns, (F.col("place") + F.col("before")).cast("long").alias("nth")).mapInArrow(_bins(counts, capacity), f"{PIECES}, bin long")
 
 
-ISLAND = "block long, island int, sizes array<int>, seed array<int>, elite array<array<int>>, bins int, fill double"
+ISLAND = "block long, island int, sizes array<int>, seed array<long>, elite array<array<int>>, bins int, fill double"
 
 
 def _epoch(epoch: int, capacity: int, generations: int, size: int):
@@ -332,7 +333,7 @@ def _epoch(epoch: int, capacity: int, generations: int, size: int):
                 bins, fill = fitness(found[0], sizes, capacity)
                 out.append({"block": r["block"], "island": r["island"], "sizes": sizes, "seed": r["seed"], "elite": [flat(x, len(sizes)) for x in found[:2]], "bins": bins, "fill": fill})
             numbers = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("island", pa.int32()), ("sizes", numbers), ("seed", numbers), ("elite", pa.list_(numbers)), ("bins", pa.int32()), ("fill", pa.float64())]))
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), ("island", pa.int32()), ("sizes", numbers), ("seed", pa.list_(pa.int64())), ("elite", pa.list_(numbers)), ("bins", pa.int32()), ("fill", pa.float64())]))
 
     return run
 
@@ -342,10 +343,9 @@ def _packed(scratch: Scratch, name: str, dealt: DataFrame, first_block: int, blo
     dealt = dealt.withColumn("block", (F.pmod(F.xxhash64("bin"), F.lit(blocks)) + first_block).cast("long"))
     item = F.struct((-F.col("length")).alias("key"), "doc_id", "piece", "start", "ids_crc32", "bin")
     held = scratch.table(dealt.groupBy("block").agg(F.sort_array(F.collect_list(item)).alias("items")), f"{name}-blocks")
-    seed = F.transform(F.transform("items", lambda x: x["bin"]), lambda b: F.array_position(F.array_distinct("bins"), b).cast("int"))
-    state = held.withColumn("bins", F.transform("items", lambda x: x["bin"])).select(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.transform("items", lambda x: (-x["key"]).cast("int")).alias("sizes"), seed.alias("seed"), F.lit(None).cast("array<array<int>>").alias("elite")
-    )
+    sizes, seed = F.transform("items", lambda x: (-x["key"]).cast("int")), F.transform("items", lambda x: x["bin"])
+    each = F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")
+    state = held.select("block", each, sizes.alias("sizes"), seed.alias("seed"), F.lit(None).cast("array<array<int>>").alias("elite"))
     state = scratch.table(state.repartition(math.ceil(blocks * islands / ROWS_PER_TASK), "block", "island").mapInArrow(_epoch(0, capacity, generations, POPULATION), ISLAND), f"{name}-epoch-0")
     for e in range(1, epochs):
         sent = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("elite").alias("guests"))
@@ -376,7 +376,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     open_, level, first = seeded.where(~alone), 0, 0
     left = open_.count()
     while left:
-        blocks = max(1, math.ceil(left / block))
+        blocks = max(1, math.ceil(left / (min(block, REST) if level else block)))
         rows = _packed(scratch, f"level-{level}", open_, first, blocks, capacity, islands, epochs, generations)
         full = F.col("fill") == capacity
         open_ = rows.where(~full)
