@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from threadlake.session import Scratch
 
-LEAST, MASK_BITS, GREATEST = 2048, 12, 32768
+LEAST, MASK_BITS, GREATEST = 256, 8, 32768  # some 460 bytes a chunk, three in a document of middling size, so that passages shared by short documents are found
 BLOOM_BITS = 1 << 26  # 8 MB, sent to all executors
 BLOOM_HASHES = 2
 RATE = 8000
