@@ -6,11 +6,12 @@ import re
 import zlib
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadlake.llm import chat, decontam, license_scan, line_dedup, media, near_dedup, packing, sharding, toxicity, url_filter
+from threadlake.llm import chat, decontam, license_scan, line_dedup, media, near_dedup, packing, registry, sharding, toxicity, url_filter
 from threadlake.session import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -494,6 +495,19 @@ def test_media(spark):
     assert media.media_columns(rows.union(rows)).count() == 2 * len(texts)
 
 
+def test_passages_of_short_documents_are_shared(spark):
+    """Documents of 1.5 KB, most of it a passage that two others have too, behind beginnings of different lengths."""
+    rng = random.Random(66)
+    texts = []
+    for _ in range(30):
+        passage = prose(rng, 400)[:1200]
+        texts += [prose(rng, 100)[: rng.randrange(50, 250)] + passage + prose(rng, 100)[:150] for _ in range(3)]
+    store = media.build_store(docs(spark, texts), Scratch(spark, "t")).collect()
+    assert max(map(len, texts)) < 1600
+    assert sum(bool(r["refs"]) for r in store) >= 40  # of the 60 that come second or third
+    assert sum(len(media.own_chunks(r)) for r in store) == len({d for r in store for d in r["digests"]})
+
+
 def test_damage_is_seen():
     wav = media.to_wav(media.payload(" ".join(f"word{i * i}" for i in range(2000)))[0])
     parts = media.chunks(wav)
@@ -694,6 +708,34 @@ def test_reply_trees(spark):
     assert got == want
 
 
+def test_odd_reply_trees(spark):
+    """Repeated ids, replies to nobody, cycles, messages without an id, and a column of a clashing name."""
+    rows = [
+        (1, "a", None, "user", "hello", 0.0), (1, "a", None, "user", "hello", 0.0), (1, "b", "a", "assistant", "first", 1.0), (1, "b", "a", "assistant", "second", 2.0), (1, "c", "b", "user", "bye", None),
+        (2, "d", "nobody", "user", "lost", 0.0), (2, "e", "d", "user", "lost too", 0.0),
+        (3, "f", "g", "user", "round", 1.0), (3, "g", "h", "user", "and", 1.0), (3, "h", "f", "user", "round", 1.0), (3, "i", "h", "user", "below it", 1.0), (3, "j", "j", "user", "itself", 1.0),
+        (4, None, None, "user", "no id", 0.0), (4, "k", None, None, None, None), (5, "l", "a", "assistant", "worse", 1.0),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, id string, parent string, role string, text string, score double").withColumn("root", F.lit("x")).withColumn("depth", F.lit(7))
+    got = sorted((r["conv_id"], r["branch"], chat.parse_turns(r["formatted"])) for r in chat.format_trees(messages, 2).collect())
+    assert got == [
+        (1, 1, [("user", "hello"), ("assistant", "second"), ("user", "bye")]), (1, 2, [("user", "hello"), ("assistant", "worse")]), (4, 1, [("", "")]),
+    ]
+
+
+def test_chat_sql(spark, tmp_path):
+    rng = random.Random(99)
+    rows = [(c, t, rng.choice(["user", "assistant", "assistant", "sys\ntem<|", None]), None if rng.random() < 0.1 else "".join(rng.choice(NASTY) for _ in range(rng.randrange(7)))) for c in range(40) for t in range(rng.randrange(1, 20))]
+    rows += rows[:50] + [(None, 1, "user", "x"), (None, None, "assistant", "y"), (-7, 5, "user", "more")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE["op9_chat_formatting"])
+    columns = [c[0] for c in want.description]
+    got = [tuple(r) for r in registry.op9_chat_formatting(spark, str(tmp_path)).select(columns).collect()]
+    assert sorted(got, key=str) == sorted(want.fetchall(), key=str) and len(got) == 42
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,9 @@
 """Chat formatting over reply trees.
 
-Messages are nodes that point to their parent. Pointer doubling, a self-join per round, gives every node its root, depth and score sum, so that
-a path of n messages takes log2(n) rounds. Branches (leaves) are ranked by score within their root, and only the chosen paths
-are then enumerated, by ancestors at distances of powers of two, and formatted as one conversation each.
+Messages are nodes that point to their parent. Pointer doubling, a self-join per round over the nodes that have not come to their root yet, gives every node its
+root, depth and score sum, so that a path of n messages takes log2(n) rounds. Branches (leaves) are ranked by score within their root, and only the chosen paths
+are then enumerated, by the ancestors at distances of powers of two that the rounds have found, and formatted as one conversation each. Trees that are paths
+need neither.
 
 Template: ``<|role|>`` and a line end before each text, ``<|end|>`` and a line end after it. Inside roles and texts a backslash is doubled and each
 control string gets a backslash after its first character, so that no text can end a turn, and unescaping gives the text back.
@@ -10,6 +11,7 @@ control string gets a backslash after its first character, so that no text can e
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -60,48 +62,56 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _doubled(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(root, id, depth, total): by pointer doubling over (id, parent, score)."""
-    up = nodes.select("id", F.coalesce("parent", "id").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), "score", F.when(F.col("parent").isNull(), 0.0).otherwise(F.col("score")).alias("total"))
-    cur, n = scratch.table(up, "up-0"), 0
-    while True:
-        far = cur.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        nxt = cur.join(far, "anc").select("id", F.col("anc2").alias("anc"), (F.col("depth") + F.col("d2")).alias("depth"), "score", (F.col("total") + F.col("t2")).alias("total"))
-        nxt = scratch.table(nxt, f"up-{n + 1}")
-        moved = cur.agg(F.sum("depth").alias("d")).first()["d"] != nxt.agg(F.sum("depth").alias("d")).first()["d"]
-        scratch.drop(f"up-{n}")
-        cur, n = nxt, n + 1
-        if not moved:
+def _doubled(nodes: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Levels of pointer doubling over (id, parent, score). Level n has (id, anc, depth, total) of all nodes at least 2**(n - 1) deep: ``anc`` is ``depth`` steps up, at most 2**n.
+
+    Whoever comes less far up than 2**n stands at its root and is done: it is in no later level. ``total`` is summed from the node to its root, or
+    to just below ``anc`` if the node isn't done. What is on or below a cycle is never done; when a level's step is no shorter than all nodes in a row, only such nodes are left.
+    """
+    far = nodes.select("id", F.coalesce("parent", "id").alias("anc"), F.col("parent").isNotNull().cast("long").alias("depth"), F.col("score").alias("total"))
+    levels = [scratch.table(far, "level-0")]
+    count = levels[0].count()
+    for n in range(60):
+        going = levels[n].where(F.col("depth") == 2**n)
+        if 2**n >= count or going.isEmpty():
             break
-        if n > 60:
-            raise ValueError("the replies form a cycle")
-    root = nodes.where("parent is null").select(F.col("id").alias("anc"), F.col("score").alias("s0"))
-    return cur.join(root, "anc").select(F.col("anc").alias("root"), "id", "depth", (F.col("total") + F.col("s0")).alias("total"))
+        known = functools.reduce(DataFrame.unionByName, [done(level, k) for k, level in enumerate(levels)], going)
+        known = known.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        levels.append(scratch.table(going.join(known, "anc").select("id", F.col("anc2").alias("anc"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total")), f"level-{n + 1}"))
+    return levels
+
+
+def done(level: DataFrame, n: int) -> DataFrame:
+    """The nodes of level ``n`` whose ``anc`` is their root."""
+    return level.where(F.col("depth") < 2**n)
 
 
 def best_paths(nodes: DataFrame, branches: int = 1, scratch: Scratch | None = None) -> DataFrame:
     """(root, branch, depth, id) of the ``branches`` best root-to-leaf paths of each tree of ``nodes`` (id, parent, score).
 
-    ``parent`` is null at roots, a null score is 0. A branch's score is the sum over its path; ties go to the longer path, then the lesser leaf.
+    ``parent`` is null at roots, a null score is 0. A branch's score is the sum over its path; ties go to the longer path, then the lesser leaf. Nodes
+    without an id, below a parent that is no node, or on or below a cycle have no root and are on no path. Ids are to be unique.
     """
     scratch = scratch or Scratch(nodes.sparkSession, "paths")
-    nodes = scratch.table(nodes.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
-    known = scratch.table(_doubled(nodes, scratch), "known")
-    leaves = known.join(nodes.where("parent is not null").select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
+    nodes = scratch.table(nodes.where("id is not null").select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
+    levels = _doubled(nodes, scratch)
+    known = functools.reduce(DataFrame.unionByName, [done(level, n) for n, level in enumerate(levels)]).withColumnRenamed("anc", "root")
+    leaves = scratch.table(known.join(nodes.where("parent is not null").select(F.col("parent").alias("id")).distinct(), "id", "left_anti"), "leaves")
+    # a tree with one leaf is a path: all its nodes, with nothing to rank and no round to go
+    lone = scratch.table(leaves.groupBy("root").agg(F.count("*").alias("n")).where("n = 1").select("root"), "lone")
+    whole = known.join(lone, "root").select("root", F.lit(1).alias("branch"), "id", "depth")
     rank = Window.partitionBy("root").orderBy(F.desc("total"), F.desc("depth"), "id")
-    path = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches).select("root", "branch", "id", "depth")
-    # from each chosen leaf up: halves of the path double the rows reached each round
-    jump = nodes.where("parent is not null").select("id", F.col("parent").alias("to"))
-    on, n = scratch.table(path, "on-0"), 0
-    jump = scratch.table(jump, "jump-0")
-    while True:
-        new = on.join(jump, "id").select("root", "branch", F.col("to").alias("id"), (F.col("depth") - 2**n).alias("depth"))
-        nxt = scratch.table(on.unionByName(new), f"on-{n + 1}")
-        more = scratch.table(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to").select("id", F.col("to2").alias("to")), f"jump-{n + 1}")
-        scratch.drop(f"on-{n}", f"jump-{n}")
-        on, jump, n = nxt, more, n + 1
-        if not jump.limit(1).count():
-            return on
+    on = leaves.join(lone, "root", "left_anti").withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= branches).select("root", "branch", "id", "depth")
+    # from each chosen leaf up: the steps of the levels' lengths reach every node of its path once
+    on = scratch.table(on, "on-0")
+    for n, level in enumerate([] if on.isEmpty() else levels):
+        step = level.where(F.col("depth") == 2**n).select("id", F.col("anc").alias("to"))
+        new = on.join(step, "id").select("root", "branch", F.col("to").alias("id"), (F.col("depth") - 2**n).alias("depth"))
+        on = scratch.table(on.unionByName(new), f"on-{n + 1}")
+        scratch.drop(f"on-{n}")
+    out = scratch.table(on.unionByName(whole), "paths")
+    scratch.drop("nodes", "leaves", "lone", *[f"level-{n}" for n in range(len(levels))], *[f"on-{n}" for n in range(len(levels) + 1)])
+    return out
 
 
 FORMATTED = "conv_id long, branch int, formatted string, mask array<struct<start:long,end:long>>"
@@ -120,13 +130,16 @@ def _format(batches):
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """One formatted conversation per chosen path. ``messages``: conv_id, id, parent (null at a root), role, text, score.
 
-    Null roles and texts are empty. A message whose parent is no message is dropped with its replies unless its parent is null; trees of
-    one conversation are formatted apart, each as conv_id says. An empty table gives an empty result.
+    Null roles and texts are empty, a null score is 0. Rows that repeat an id are one message: the one with the greatest score, then the least conv_id, parent (null first), role and
+    text. Messages without an id, below a parent that is no message, or on or below a cycle have no root and are in no conversation. Trees of
+    one conversation are formatted apart, each as its root's conv_id says. An empty table gives an empty result.
     """
     scratch = Scratch(messages.sparkSession, "chat")
-    kept = scratch.table(messages.select("conv_id", "id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score"), "messages")
+    first = F.struct((-F.coalesce(F.col("score").cast("double"), F.lit(0.0))).alias("low"), "conv_id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    kept = messages.where("id is not null").groupBy("id").agg(F.min(first).alias("m"))
+    kept = scratch.table(kept.select("m.conv_id", "id", "m.parent", "m.role", "m.text", (-F.col("m.low")).alias("score")), "messages")
     paths = best_paths(kept, branches, scratch)
-    turns = paths.join(kept.select("id", "conv_id", "role", "text"), "id").groupBy("root", "branch").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
+    turns = paths.join(kept.select("id", "conv_id", "role", "text"), "id").groupBy("root", "branch").agg(F.min_by("conv_id", "depth").alias("conv_id"), F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     return turns.select("conv_id", "branch", "turns").mapInArrow(_format, FORMATTED)
 
 

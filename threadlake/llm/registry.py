@@ -135,6 +135,14 @@ ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(id, spot) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM reach r JOIN ends e ON r.spot = e.a),
 least AS (SELECT id, min(spot) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON id = doc_id""",
+    "op9_chat_formatting": r"""
+WITH said AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM said),
+sized AS (SELECT *, 13 + length(regexp_replace(role, '<\||\|>|</s>|<s>|\[INST\]|\[/INST\]|\\', '+\0', 'g')) + length(role) - length(replace(role, chr(10), ''))
+          + length(regexp_replace(text, '<\||\|>|</s>|<s>|\[INST\]|\[/INST\]|\\', '+\0', 'g')) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM sized GROUP BY conv_id""",
     "op5_line_dedup": f"WITH {LINES_SQL.format(docs='documents')} SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM kept",
     "op7_decontamination": f"""
 WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
