@@ -212,10 +212,8 @@ def build_store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     refs = scratch.table(rows.mapInArrow(_refs, REFS), "refs")
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "rid", "i")
     many = refs.groupBy("digest").agg(F.min(place).alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner")
-    # a chunk may be in a third of all documents: both sides are salted. Spark doesn't see that the salted table is 16 times the one it is made of, and would broadcast it
-    salt = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(16)).cast("int")
-    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    met = refs.withColumn("salt", salt).join(many.hint("merge"), ["digest", "salt"])
+    # a chunk may be in a third of all documents; the other side has it once, so Spark's skew join splits its references
+    met = refs.join(many, "digest")
     role = met.groupBy("doc_id", "rid").agg(F.collect_set(F.when(place != F.col("owner"), F.col("i"))).alias("gone"), F.collect_set(F.when(place == F.col("owner"), F.col("i"))).alias("lend"))
     role = scratch.table(role.select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "gone", "lend"), "role")
     scratch.drop("refs")
@@ -276,10 +274,8 @@ def read_features(store: DataFrame, scratch: Scratch) -> DataFrame:
     # owners know what they lend, so that this is a scan
     lent = store.where(F.size("lend") > 0).select("digests", "own", "lend").mapInArrow(_owned, "digest binary, data binary")
     lent = scratch.table(lent.dropDuplicates(["digest"]), "lent", "none")
-    # a chunk that a third of the documents refer to goes out once per salt
-    salt = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(16)).cast("int")
-    need = refs.select("digest", salt.alias("salt")).distinct().join(lent, "digest")
-    met = refs.withColumn("salt", salt).join(need, ["digest", "salt"]).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("i", "data")).alias("fetched"))
+    # references to a chunk that a third of the documents have are split by Spark's skew join, which reads the chunk once per split
+    met = refs.join(lent, "digest").groupBy("doc_id", "rid").agg(F.collect_set(F.struct("i", "data")).alias("fetched"))
     met = met.withColumnRenamed("doc_id", "_d").withColumnRenamed("rid", "_r")
     plain = store.where(F.size("refs") == 0).withColumn("fetched", F.lit(None).cast("array<struct<i:int,data:binary>>"))
     other = store.where(F.size("refs") > 0).join(met, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rid") == F.col("_r"))).drop("_d", "_r")
