@@ -61,6 +61,26 @@ def test_silhouette_by_blocks(spark, monkeypatch):
     assert clustering.silhouette(v.limit(0), "label", sample=None).first().asDict() == {"silhouette": -1.0, "n": 0}
 
 
+@pytest.mark.parametrize(("stripe", "stripes"), [(10_000, 4), (24, 8)])
+def test_silhouette_copies_a_vector_once_per_stripe(spark, monkeypatch, stripe, stripes):
+    """How often a block is sent doesn't grow with the number of blocks, up to the size of a stripe; equal to plain loops."""
+    for name, value in (("BLOCK", 8), ("STRIPES", 4), ("STRIPE", stripe)):
+        monkeypatch.setattr(clustering, name, value)
+    sent, frame = [], type(spark.range(0))
+    run = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: (sent.append(self.count()) if "pair" in self.columns else None, run(self, *a, **k))[1])
+    rng = np.random.default_rng(8)
+    x, labels = rng.normal(size=(190, 5)), np.arange(190) % 3
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    sums = np.stack([d[:, labels == k].sum(1) for k in range(3)], 1)
+    n, mine = np.bincount(labels), labels[:, None] == np.arange(3)
+    a, b = sums[mine] / (n[labels] - 1), np.where(mine, np.inf, sums / n).min(1)
+    v = spark.createDataFrame([(i, int(c), r.tolist()) for i, (c, r) in enumerate(zip(labels, x, strict=True))], "vec_id long, label int, embedding array<double>")
+    got = clustering.silhouette(v, "label", sample=None).first()
+    assert got["n"] == 190 and got["silhouette"] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-9)
+    assert sent == [24 * stripes]  # 24 blocks
+
+
 def test_label_causes(spark):
     prompts = spark.createDataFrame([(1, "good"), (2, "strict"), (3, "never"), (4, "none")], "cluster_id int, prompt string")
 
