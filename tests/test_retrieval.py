@@ -102,3 +102,25 @@ def test_screen_report(spark):
     got = {r["stratum"]: tuple(r)[1:] for r in screening.screen_report(scored, near).collect()}
     assert got == {"A": (3, 1, 0.333333, 0.0), "B": (1, 1, 1.0, None)}
     assert screening.keys_for(0.95) > screening.keys_for(0.99)
+
+
+def sent(spark, monkeypatch, column):
+    """How many rows with this column go to the tasks' Python, per call."""
+    out, frame = [], type(spark.range(0))
+    run = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: (out.append(self.count()) if column in self.columns else None, run(self, *a, **k))[1])
+    return out
+
+
+def test_screen_deals_vectors_not_pairs(spark, monkeypatch):
+    """Vectors so near that all share their buckets: a row per vector and key, where pairs would be 40 times as many."""
+    rng = np.random.default_rng(5)
+    x = 1 + rng.normal(size=(400, 8)) * 1e-3
+    out = sent(spark, monkeypatch, "key")
+    got = screening.near_screen(frame(spark, x).where("vec_id % 10 = 0"), frame(spark, x), 0.95, digits=12).collect()
+    assert out == [440 * screening.keys_for(0.95)]
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    assert len(got) == 40 and all(abs(s[r["id"], r["best_id"]] - s[r["id"]].max()) < 1e-11 for r in got)
