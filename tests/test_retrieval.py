@@ -124,3 +124,33 @@ def test_screen_deals_vectors_not_pairs(spark, monkeypatch):
     s = u @ u.T
     np.fill_diagonal(s, -1)
     assert len(got) == 40 and all(abs(s[r["id"], r["best_id"]] - s[r["id"]].max()) < 1e-11 for r in got)
+
+
+@pytest.mark.parametrize(("held", "tall"), [(10_000, 1), (40, 4)])
+def test_exact_answers_copy_a_query_once_per_stripe(spark, clustered, monkeypatch, held, tall):
+    for name, value in (("PART", 20), ("ASKED", 16), ("STRIPES", 3), ("HELD", held)):
+        monkeypatch.setattr(retrieval, name, value)
+    v = frame(spark, clustered)
+    index = retrieval.build(v)
+    out = sent(spark, monkeypatch, "tile")
+    got, want = found(retrieval.search(index, v.where("vec_id % 20 = 0"), 5)), brute(clustered, range(0, 2500, 20), 5)
+    assert {q: [i for i, _ in f] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in want.items()}
+    parts = index.parts.selectExpr("sum(parts) AS n").first()["n"]
+    assert parts > 100 and out == [8 * 3 + parts * tall]  # 8 blocks of queries
+
+
+def test_exact_answers_with_fewer_rows_than_wanted(spark):
+    x = np.array([[1.0, 0], [0, 1], [1, 1]])
+    v = frame(spark, x)
+    assert found(retrieval.search(retrieval.build(v), v, 5)) == brute(x, range(3), 2)
+
+
+def test_nearest_cells_are_products(spark):
+    rng = np.random.default_rng(6)
+    u, c = rng.normal(size=(30, 4)), rng.normal(size=(9, 4))
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(u)], "id long, u array<double>")
+    cells = spark.createDataFrame([(10 + i, r.tolist()) for i, r in enumerate(c)], "cell int, c array<double>")
+    near = retrieval.nearest_cells(rows, cells, 3)
+    want = 10 + np.argsort(((u[:, None] - c) ** 2).sum(2) - (u**2).sum(1)[:, None], axis=1)[:, :3]
+    assert [r["cells"] for r in near.orderBy("id").collect()] == want.tolist()
+    assert "zip_with" not in near._jdf.queryExecution().toString()
