@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -44,8 +45,7 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 FEATURES = 1 << 14
-SAMPLE_DOCS = 2_000  # documents whose lines the classifier learns the unknown class from, at most
-SAMPLE_LINES = 20_000  # different lines of theirs, at most
+PARTS = 64  # of the training rows, at most; each gives the driver a gradient per iteration
 HALF = 0.5  # share of a template's bigrams from which a line isn't plain
 FALSE_ALARMS = 0.001  # share of held-out plain lines that may be taken for a licence
 #: Plain paragraphs, some of which talk of licences or share their words without granting one.
@@ -136,51 +136,64 @@ def _scored(rows: DataFrame, regression: LogisticRegressionModel, families: list
     return out.withColumn("_odds", best - F.element_at("_r", len(families))).withColumn("family", F.element_at(F.array(*map(F.lit, families)), F.array_position(each, best).cast("int")))
 
 
-def plain_lines(docs: DataFrame, known: list[str], id_col: str = "doc_id", text_col: str = "text", n_docs: int = SAMPLE_DOCS, n_lines: int = SAMPLE_LINES) -> DataFrame:
-    """(_g, held): the known n-grams of different lines that no template half holds, of whole documents drawn by hash of the id; a fifth of the lines is held out.
-    Null ids aren't drawn; an id that repeats is drawn with all its rows."""
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(n_docs)
-    lines = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(ids), "_id").select(F.explode(F.split("_t", "\n", -1)).alias("_line")).distinct()
-    lines = lines.orderBy(F.xxhash64("_line"), "_line").limit(n_lines).select(F.xxhash64("_line", F.lit(1)).alias("_h"), words(F.col("_line")).alias("_w")).where(F.size("_w") > 0)
+def plain_lines(docs: DataFrame, known: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_g, held): the known n-grams of every different line that no template half holds; a fifth of the lines is held out. Null ids' lines aren't taken."""
+    return _plain_sets(docs, known, id_col, text_col).select("_g", "held", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_i")).drop("_i")
+
+
+def _plain_sets(docs: DataFrame, known: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(_g, held, n): the same with the number of lines that have these n-grams. Lines are told apart by a hash, so that what is shuffled of one is that and its few n-grams."""
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("_line"))
+    lines = lines.select(F.xxhash64("_line").alias("_d"), F.xxhash64("_line", F.lit(1)).alias("_h"), F.explode(F.array(words(F.col("_line")))).alias("_w")).where(F.size("_w") > 0)
     wanted = {*known, *(g for texts in _templates().values() for t in texts for g in t)}
-    lines = with_grams(lines, sorted(wanted)).where(F.greatest(*(c for family in TEMPLATES for c in _shares(family))) < HALF)
-    return lines.select(F.array_distinct(F.filter("_g", lambda g: g.isin(known))).alias("_g"), (F.pmod("_h", F.lit(5)) == 0).alias("held"))
+    grams = with_grams(lines, sorted(wanted)).select("_d", "_h", F.array_sort(F.array_distinct(F.filter("_g", lambda g: g.isin(sorted(wanted))))).alias("_g"))
+    sets = grams.groupBy("_d", "_h").agg(F.first("_g").alias("_g")).groupBy("_g", (F.pmod("_h", F.lit(5)) == 0).alias("held")).agg(F.count("*").alias("n"))
+    sets = sets.where(F.greatest(*(c for family in TEMPLATES for c in _shares(family))) < HALF)
+    return sets.groupBy(F.filter("_g", lambda g: g.isin(known)).alias("_g"), "held").agg(F.sum("n").alias("n"))
 
 
 def train(spark: SparkSession, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", false_alarms: float = FALSE_ALARMS) -> Model:
     """Fit on four fifths of the templates' variants and of plain lines, then calibrate on the rest.
 
-    Plain lines are those of a bounded sample of ``docs`` (``SAMPLE_DOCS``, ``SAMPLE_LINES``) and the few of ``PROSE``; together the former weigh as much as the variants at most.
+    Plain lines are all different ones of ``docs`` and the few of ``PROSE``; together the former weigh as much as the variants at most. Lines with the same known n-grams are one row with
+    their number as its weight.
     The margin is the greater of the log-odds at which a family is as probable as the unknown class, and of those that at most ``false_alarms`` of the held-out plain lines have.
     """
     families = [*sorted(TEMPLATES), UNKNOWN]
     made = with_grams(training_set(spark).withColumn("_w", words(F.col("text"))))
-    made = made.select("family", "_g", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held"), F.lit(1.0).alias("weight")).cache()  # a few hundred rows
+    made = made.select("family", "_g", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held"), F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("weight")).cache()  # a few hundred rows
     known = sorted(r["g"] for r in made.where(~F.col("held")).select(F.explode("_g").alias("g")).distinct().collect())
     rows = made
     if docs is not None:
-        plain = Scratch(spark, "licences").table(plain_lines(docs, known, id_col, text_col), "plain")
-        share = made.where(~F.col("held")).count() / max(1, plain.where(~F.col("held")).count())
-        rows = made.unionByName(plain.select(F.lit(UNKNOWN).alias("family"), "_g", "held", F.lit(min(1.0, share)).alias("weight")))
+        plain = Scratch(spark, "licences").table(_plain_sets(docs, known, id_col, text_col), "plain")
+        share = made.where(~F.col("held")).count() / max(1, plain.where(~F.col("held")).agg(F.sum("n")).first()[0] or 0)
+        rows = made.unionByName(plain.select(F.lit(UNKNOWN).alias("family"), "_g", "held", "n", (F.col("n") * min(1.0, share)).alias("weight")))
     rows = rows.withColumn("label", (F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1).cast("double"))
-    data = HashingTF(numFeatures=FEATURES, inputCol="_g", outputCol="features", binary=True).transform(rows.where(~F.col("held"))).repartition(1).cache()  # SAMPLE_LINES and a few hundred rows at most
+    data = HashingTF(numFeatures=FEATURES, inputCol="_g", outputCol="features", binary=True).transform(rows.where(~F.col("held")))
+    data = data.select("features", "label", "weight").coalesce(PARTS).persist(StorageLevel.MEMORY_AND_DISK)
     fit = LogisticRegression(maxIter=60, regParam=0.003, elasticNetParam=0.0, family="multinomial", featuresCol="features", labelCol="label", weightCol="weight")
     regression = fit.fit(data)
-    back = _scored(rows.where("held").withColumnRenamed("family", "true"), regression, families, known).select("true", "family", "_odds").coalesce(1).cache()
+    back = _scored(rows.where("held").withColumnRenamed("family", "true"), regression, families, known).select("true", "family", "n", "_odds")
+    back = back.groupBy("true", "family", "_odds").agg(F.sum("n").alias("n")).coalesce(PARTS).persist(StorageLevel.MEMORY_AND_DISK)
     slope, offset = _curve(back)
     plain = back.where(F.col("true") == UNKNOWN)
-    over = math.floor(false_alarms * plain.count()) + 1
-    top = [r["_odds"] for r in plain.orderBy(F.desc("_odds")).limit(over).select("_odds").collect()]
+    over = math.floor(false_alarms * (plain.agg(F.sum("n")).first()[0] or 0)) + 1
+    least = -math.inf
+    for r in plain.orderBy(F.desc("_odds")).limit(over).select("_odds", "n").collect():  # a thousandth of the held-out lines' different log-odds at most
+        over -= r["n"]
+        if over <= 0:
+            least = r["_odds"] + 1e-6
+            break
     for cached in (made, data, back):
         cached.unpersist()
-    return Model(regression, families, max(-offset / slope, top[-1] + 1e-6 if len(top) == over else -math.inf), slope, offset, known)
+    return Model(regression, families, max(-offset / slope, least), slope, offset, known)
 
 
 def _curve(back: DataFrame) -> tuple[float, float]:
     """Slope and offset of a logistic curve through held-out log-odds, of variants under their own family against plain lines; both kinds weigh the same."""
-    rows = back.where((F.col("true") == UNKNOWN) | (F.col("true") == F.col("family"))).select((F.col("true") != UNKNOWN).cast("double").alias("label"), array_to_vector(F.array("_odds")).alias("features"))
-    n1, n0 = (max(1, rows.where(F.col("label") == v).count()) for v in (1.0, 0.0))
-    rows = rows.withColumn("weight", F.when(F.col("label") == 1.0, 1.0 / n1).otherwise(1.0 / n0))
+    rows = back.where((F.col("true") == UNKNOWN) | (F.col("true") == F.col("family"))).select((F.col("true") != UNKNOWN).cast("double").alias("label"), "n", array_to_vector(F.array("_odds")).alias("features"))
+    n1, n0 = (max(1, rows.where(F.col("label") == v).agg(F.sum("n")).first()[0] or 0) for v in (1.0, 0.0))
+    rows = rows.withColumn("weight", F.col("n") * F.when(F.col("label") == 1.0, 1.0 / n1).otherwise(1.0 / n0))
     curve = LogisticRegression(maxIter=60, regParam=0.001, family="binomial", weightCol="weight").fit(rows)
     return max(1e-3, float(curve.coefficients[0])), float(curve.intercept)
 
