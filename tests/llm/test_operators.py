@@ -521,6 +521,56 @@ def test_passages_of_short_documents_are_shared(spark):
     assert sum(len(media.own_chunks(r)) for r in store) == len({d for r in store for d in r["digests"]})
 
 
+def shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_texts_that_share_a_passage_are_stored_where_they_are_read(spark):
+    """300 documents of 6 KB have a passage of 1 KB in common, two in three a second one with one other, ten are copies: chunks move, texts do not."""
+    rng = random.Random(67)
+    passage, pairs = rng.randbytes(500).hex(), [rng.randbytes(500).hex() for _ in range(100)]
+    texts = [rng.randbytes(1500).hex() + passage + (pairs[i // 2] if i < 200 else "") + rng.randbytes(1500).hex() for i in range(300)] + [rng.randbytes(3000).hex()] * 10
+    rows = docs(spark, texts).repartition(4).cache()
+    rows.count()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        store = media.build_store(rows, Scratch(spark, "t"))
+        moved = shuffled(spark) - before
+        got = {r["doc_id"]: r["payload_sha256"] for r in media.read_features(store).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert 0 < moved < 0.2 * sum(map(len, texts))
+    assert got == {i: hashlib.sha256(media.payload(t)[0]).hexdigest() for i, t in enumerate(texts)}
+    stored = store.collect()
+    assert sum(len(media.own_chunks(r)) for r in stored) == len({d for r in stored for d in r["digests"]})
+    assert sum(r["kind"] == media.COPIED for r in stored) == 1 and sum(r["kind"] == media.NAME for r in stored) == 10
+
+
+def test_same_samples_of_different_texts_and_repeated_rows(spark):
+    """Bytes 0 at the end are in the padding of the shorter text; ids that are null or repeat, and chunks that a text repeats."""
+    rng = random.Random(68)
+    part = rng.randbytes(40000).hex()
+    rows = [(1, "a"), (2, "a\0\0"), (3, "a"), (3, "a"), (None, "a"), (None, None), (4, ""), (5, "\0" * 64), (6, part + part), (6, part), (-7, "é" * 5000)]
+    want = sorted((str(d), len((t or "").encode()), hashlib.sha256(media.payload(t)[0]).hexdigest()) for d, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_sha256"]) for r in media.media_columns(df).collect()) == want
+    stored = media.build_store(df, Scratch(spark, "t")).collect()
+    kept = [d for r in stored for i, d in enumerate(r["digests"]) if i not in r["refs"]]
+    assert sorted(kept) == sorted({d for r in stored for d in r["digests"]})
+
+
+def test_a_lost_pack_or_text_is_seen(spark):
+    texts = ["x" * 200000, "y" * 3000, "y" * 3000]
+    store = media.build_store(docs(spark, texts), Scratch(spark, "t"))
+    assert media.read_features(store).count() == 3
+    for kind in (media.SHARED, media.COPIED):
+        with pytest.raises(Exception, match="missing"):
+            media.read_features(store.where(F.col("kind") != kind)).collect()
+
+
 def test_damage_is_seen():
     wav = media.to_wav(media.payload(" ".join(f"word{i * i}" for i in range(2000)))[0])
     parts = media.chunks(wav)
