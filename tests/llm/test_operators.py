@@ -562,6 +562,22 @@ def test_same_samples_of_different_texts_and_repeated_rows(spark):
     assert sorted(kept) == sorted({d for r in stored for d in r["digests"]})
 
 
+def test_documents_of_a_hot_text_go_to_several_tasks(spark):
+    df = spark.range(6000).selectExpr("id doc_id", "if(id % 4 = 0, concat('own ', id), 'hot') text")
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = media.media_columns(df)
+        counts = [n for n in got.where("n_bytes = 3").groupBy(F.spark_partition_id()).count().toPandas()["count"]]
+        assert got.count() == got.select("doc_id").distinct().count() == 6000
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sum(counts) == 4500 and max(counts) < 4500
+
+
 def test_a_lost_pack_or_text_is_seen(spark):
     texts = ["x" * 200000, "y" * 3000, "y" * 3000]
     store = media.build_store(docs(spark, texts), Scratch(spark, "t"))

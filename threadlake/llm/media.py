@@ -31,6 +31,7 @@ BLOOM_BITS = 1 << 26  # 8 MB, sent to all executors
 RATE = 8000
 HEADER = 44
 PACK = 256  # shared chunks in a row of the store, which are compressed together
+HOT = 512  # documents of one text that are given its features together
 
 
 def _gear() -> np.ndarray:
@@ -335,7 +336,15 @@ def read_features(store: DataFrame) -> DataFrame:
         return plain.mapInArrow(_read, MEDIA).unionByName(files.where(borrows).join(met, "key", "left").mapInArrow(_read, MEDIA))
 
     ones, copied = described(ONE).drop("key"), described(COPIED).drop("doc_id")
-    named = store.where(F.col("kind") == NAME).select("doc_id", "key").join(copied, "key", "left").drop("key")
+    named = store.where(F.col("kind") == NAME).select("doc_id", "key")
+    # a text that a third of the documents have goes to several tasks; one row at most per HOT documents is broadcast
+    parts = named.groupBy("key").agg(F.ceil(F.count("*") / HOT).alias("parts")).where("parts > 1")
+
+    def dealt(rows, part):
+        return rows.join(F.broadcast(parts), "key", "left").withColumn("part", part(F.coalesce("parts", F.lit(1)))).drop("parts")
+
+    named, copied = dealt(named, lambda n: F.pmod(F.monotonically_increasing_id(), n)), dealt(copied, lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    named = named.join(copied, ["key", "part"], "left").drop("key", "part")
     lost = F.raise_error(F.lit("the text of a document is missing"))
     return ones.unionByName(named.withColumn("media_sha256", F.coalesce("media_sha256", lost)))
 
